@@ -143,7 +143,7 @@ def fit_classifier(patterns: list[tuple[tuple[int, ...], int]], steps: int = 300
     return [round(x, 6) for x in w]
 
 
-def detect(docs: DataFrame, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = False) -> DataFrame:
+def detect(docs: DataFrame, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text", carry: bool = False) -> DataFrame:
     """doc_id, spans as an array of (start, end, kind, score) and base as the part of it that patterns and
     checksums alone give, for every row of docs.
 
@@ -151,10 +151,10 @@ def detect(docs: DataFrame, threshold: float = 0.5, id_col: str = "doc_id", text
     votes; their patterns are counted over all rows, EM estimates how far each labeler is right, and a logistic
     classifier fitted to its posteriors scores each candidate, kept from threshold up. Only the counts of vote
     patterns, at most 3 ** 5 rows, reach the driver. Offsets are code points, ends exclusive. Null texts count
-    as empty. Rows are independent, so repeated and null ids stay. keep_text adds the text.
+    as empty. Rows are independent, so repeated and null ids stay. carry adds the whole input row as a struct `row`.
     """
     text = F.col("text")
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *([F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")] if carry else []))
 
     def with_candidates(df: DataFrame) -> DataFrame:
         spans = base_spans(text)
@@ -167,7 +167,7 @@ def detect(docs: DataFrame, threshold: float = 0.5, id_col: str = "doc_id", text
         return df.withColumn("added", scored).withColumn("base", F.array_sort(slim, lambda a, b: F.when(a["start"] != b["start"], a["start"] - b["start"]).otherwise(a["kind"] - b["kind"])))
 
     rows = with_candidates(rows)
-    rows = cut(rows if keep_text else rows.drop("text"))
+    rows = cut(rows.drop("text"))
     counts = rows.select(F.explode("added").alias("x")).groupBy(*[F.col(f"x.{k}").alias(k) for k in LABELERS]).count().collect()
     weights = fit_classifier(sorted((tuple(r[k] for k in LABELERS), r["count"]) for r in counts))
 
@@ -185,7 +185,7 @@ def detect(docs: DataFrame, threshold: float = 0.5, id_col: str = "doc_id", text
     def named(spans):
         return F.transform(spans, lambda x: F.struct(x["start"], x["end"], F.element_at(name, x["kind"] + 1).alias("kind"), *([x["score"]] if spans is every else [])))
 
-    return rows.select("doc_id", *(["text"] if keep_text else []), named(every).alias("spans"), named(F.col("base")).alias("base"))
+    return rows.select("doc_id", *(["row"] if carry else []), named(every).alias("spans"), named(F.col("base")).alias("base"))
 
 
 def span_string(spans: Column) -> Column:

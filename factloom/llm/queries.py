@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm import minhash, mixing, pii, reputation, sharding, warc
+from factloom.llm import minhash, mixing, pii, reputation, sentencepiece_codec, sharding, topk, toxicity, vectors, warc
 from factloom.llm.common import table
 
 
+def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepiece_codec.encode_documents(table(spark, sf_dir, "documents"))
+
+
 def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
@@ -17,6 +21,14 @@ def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), size=2)
 
 
+def op4_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def op5_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.exact_top_k(table(spark, sf_dir, "embeddings"))
+
+
 def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.detect(table(spark, sf_dir, "documents"))
     kinds = F.transform("base", lambda x: x["kind"])
@@ -34,6 +46,10 @@ def op8_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reputation.judge(table(spark, sf_dir, "pages"), labels)
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels").select("doc_id", "toxic"))
+
+
 def op10_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = warc.derivatives(warc.responses(table(spark, sf_dir, "pages")), "page_id")
     return made.select("page_id", "type", "record_id", "refers_to", "target_uri", F.element_at("headers", "WARC-Block-Digest").alias("block_digest"), F.octet_length("block").alias("n_bytes"), F.col("block").cast("string").alias("content"))
@@ -98,6 +114,25 @@ select d.doc_id, coalesce(n.n, 0)::bigint as n_shingles, coalesce(comp.c, d.doc_
 from documents d left join n using (doc_id) left join comp on comp.id = d.doc_id"""
 
 
+SQL["op4_near_vectors"] = """
+with recursive v as (select vec_id, label, list_transform(embedding, lambda x: x::double) as e from embeddings
+  where label is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links as (select a.vec_id as a, b.vec_id as b from v a join v b on a.label = b.label and a.vec_id < b.vec_id and len(a.e) = len(b.e) where list_cosine_similarity(a.e, b.e) >= 0.98),
+sym as (select a, b from links union all select b, a from links),
+reach(id, c) as (select a, a from sym union select reach.id, sym.b from reach join sym on sym.a = reach.c),
+comp as (select id, min(c) as c from reach group by id),
+deg as (select a as id, count(*) as n from sym group by a)
+select vec_id, coalesce(n, 0)::bigint as n_links, coalesce(c, vec_id) as component_id, coalesce(c, vec_id) = vec_id as kept
+from embeddings left join comp on comp.id = vec_id left join deg on deg.id = vec_id"""
+
+SQL["op5_exact_top_k"] = """
+with v as (select vec_id, list_transform(embedding, lambda x: floor(256 * x::double)) as e from embeddings
+  where embedding is not null and len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+s as (select q.vec_id as query_id, d.vec_id, list_inner_product(q.e, d.e)::bigint as score from v q join v d on q.vec_id <> d.vec_id and len(q.e) = len(d.e) where q.vec_id % 50 = 0),
+r as (select *, row_number() over (partition by query_id order by score desc, vec_id)::int as rank from s)
+select query_id, rank, vec_id, score from r where rank <= 5"""
+
+
 def _strength_sql(units: str, mean: str) -> str:
     return f"""select round(greatest(1.0, least(1e4, coalesce(case when (q - v * (j - 1) / j) / nullif(t - t2 / t, 0) > 0 then a / ((q - v * (j - 1) / j) / nullif(t - t2 / t, 0)) - 1 end, 1e4))), 6) as s
 from (select sum(n * pow(k / n - {mean}, 2)) as q, sum({mean} * (1 - {mean})) as v, sum(n)::double as t, sum(n::double * n) as t2, avg({mean} * (1 - {mean})) as a, count(*)::double as j from {units} where n > 0)"""
