@@ -15,8 +15,10 @@ VERDICTS, SCOPES = ("plausible", "uncertain", "implausible"), ("promising", "nar
 def discover_roles(facts: DataFrame) -> DataFrame:
     """functor, role: whether a functor is ever premise (P) or conclusion (C) of a top-level CAUSE, with its arity as
     last seen. CAUSE itself has no role; a CAUSE without exactly two arguments is an error."""
-    causes = facts.filter(X.functor(F.col("expr")) == "CAUSE").select("name", "fact_pos", X.arg_list(F.col("expr")).alias("a"))
-    causes = causes.withColumn("a", F.when(F.size("a") == 2, F.col("a")).otherwise(F.raise_error(F.lit("CAUSE needs two arguments"))))
+    cause, args = X.functor(F.col("expr")) == "CAUSE", X.arg_list(F.col("expr"))
+    # the error is tied to the functor, as conditions may be evaluated in any order
+    checked = F.when(cause & (F.size(args) != 2), F.raise_error(F.lit("CAUSE needs two arguments")).cast("array<string>")).otherwise(args)
+    causes = facts.filter(cause).select("name", "fact_pos", checked.alias("a"))
     sides = causes.select("name", "fact_pos", F.posexplode("a").alias("side", "e")).withColumn("functor", X.functor(F.col("e"))).filter("functor is not null and functor <> 'CAUSE'")
     seen = sides.groupBy("functor").agg(F.bool_or(F.col("side") == 0).alias("p"), F.bool_or(F.col("side") == 1).alias("c"), F.max_by(F.size(X.arg_list(F.col("e"))), F.struct("name", "fact_pos", "side")).alias("arity"))
     return seen.select("functor", F.concat(F.lit("ROLE::"), F.when(F.col("p"), "P").otherwise(""), F.when(F.col("c"), "C").otherwise(""), F.lit("::"), F.col("arity").cast("string")).alias("role"))
