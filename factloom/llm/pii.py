@@ -17,7 +17,7 @@ BASE = {
     "card": "[0-9](?:[\\x20-]?+[0-9])++",
     "phone": "\\+[0-9][\\x20().0-9-]+[0-9]",
 }
-BYTE = "0*+(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]?[0-9])"
+BYTE = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]?[0-9])"
 #: Candidates of the kinds that the method adds. A candidate never overlaps a base span.
 ADDED = {
     "secret": "(?<![A-Za-z0-9_])[A-Za-z0-9_]{16,}+",
