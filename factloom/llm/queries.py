@@ -134,7 +134,8 @@ select query_id, rank, vec_id, score from r where rank <= 5"""
 
 
 def _strength_sql(units: str, mean: str) -> str:
-    return f"""select round(greatest(1.0, least(1e4, coalesce(case when (q - v * (j - 1) / j) / nullif(t - t2 / t, 0) > 0 then a / ((q - v * (j - 1) / j) / nullif(t - t2 / t, 0)) - 1 end, 1e4))), 6) as s
+    between = "(q - v * (j - 1) / j) / nullif(t - t2 / t, 0)"
+    return f"""select round(greatest(1.0, least(1e4, case when {between} > 0 then a / ({between}) - 1 when {between} <= 0 then 1e4 else 1.0 end)), 6) as s
 from (select sum(n * pow(k / n - {mean}, 2)) as q, sum({mean} * (1 - {mean})) as v, sum(n)::double as t, sum(n::double * n) as t2, avg({mean} * (1 - {mean})) as a, count(*)::double as j from {units} where n > 0)"""
 
 
@@ -146,7 +147,7 @@ o as (select r.host, count(good) as n, coalesce(sum(good), 0)::bigint as k from
 h as (select *, array_to_string(string_split(host, '.')[-2:], '.') as domain, string_split(host, '.')[-1] as suffix from o),
 sl as (select suffix, sum(n) as n, sum(k) as k from h group by suffix),
 dl as (select domain, suffix, sum(n) as n, sum(k) as k from h group by all),
-top as (select coalesce(sum(k) / nullif(sum(n), 0), 0.5) as m from h),
+top as (select (coalesce(sum(k), 0) + 1) / (coalesce(sum(n), 0) + 2) as m from h),
 s1 as (select sl.*, m from sl, top), p1 as (select suffix, (k + s * m) / (n + s) as m from s1, ({_strength_sql("s1", "m")})),
 s2 as (select dl.*, m from dl join p1 using (suffix)), p2 as (select domain, (k + s * m) / (n + s) as m from s2, ({_strength_sql("s2", "m")})),
 s3 as (select h.*, m from h join p2 using (domain)), p3 as (select host, (k + s * m) / (n + s) as p, s, n from s3, ({_strength_sql("s3", "m")})),

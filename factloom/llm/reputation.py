@@ -38,26 +38,27 @@ def _levels(host: Column, suffixes=SUFFIXES) -> tuple[Column, Column]:
 
 
 def _strength(units: DataFrame, mean: str) -> DataFrame:
-    """One row: the prior's weight s in observations, by the method of moments over units with k of n good."""
+    """One row: the prior's weight s in observations, by the method of moments over units with k of n good. Units that
+    vary no more than chance get a strong prior, a single unit, which tells nothing, a weak one."""
     got = units.filter("n > 0").agg(
         F.sum(F.expr(f"n * pow(k / n - {mean}, 2)")).alias("q"), F.sum(F.expr(f"{mean} * (1 - {mean})")).alias("v"), F.sum("n").alias("t"),
         F.sum(F.expr("cast(n as double) * n")).alias("t2"), F.avg(F.expr(f"{mean} * (1 - {mean})")).alias("a"), F.count("*").alias("j"))
     between = F.expr("(q - v * (j - 1) / j) / nullif(t - t2 / t, 0)")
-    s = F.when(between > 0, F.col("a") / between - 1)
-    return got.select(F.round(F.greatest(F.lit(1.0), F.least(F.lit(1e4), F.coalesce(s, F.lit(1e4)))), 6).alias("s"))
+    s = F.when(between > 0, F.col("a") / between - 1).when(between <= 0, F.lit(1e4)).otherwise(F.lit(1.0))
+    return got.select(F.round(F.greatest(F.lit(1.0), F.least(F.lit(1e4), s)), 6).alias("s"))
 
 
 def host_reputation(outcomes: DataFrame, suffixes=SUFFIXES) -> DataFrame:
     """host, n, k, posterior mean and sd, for outcomes (host, good) with good 1, 0 or null (not labelled).
 
-    Each level's rate is shrunk to that of the level above it: all, suffix, registered domain, host. A host
-    without labels has its domain's rate. Without any label every rate is 1/2.
+    Each level's rate is shrunk to that of the level above it: all (with a uniform prior), suffix, registered
+    domain, host. A host without labels has its domain's rate. Without any label every rate is 1/2.
     """
     domain, suffix = _levels(F.col("host"), suffixes)
     hosts = outcomes.groupBy("host").agg(F.count("good").alias("n"), F.coalesce(F.sum("good"), F.lit(0)).cast("long").alias("k"))
     hosts = hosts.withColumn("domain", domain).withColumn("suffix", suffix)
     level = {"suffix": hosts.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("k").alias("k")), "domain": hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("k").alias("k")), "host": hosts}
-    top = hosts.agg(F.coalesce(F.sum("k") / F.nullif(F.sum("n"), F.lit(0)), F.lit(0.5)).alias("m"))
+    top = hosts.agg(((F.coalesce(F.sum("k"), F.lit(0)) + 1) / (F.coalesce(F.sum("n"), F.lit(0)) + 2)).alias("m"))
     means = None
     for name, above in (("suffix", None), ("domain", "suffix"), ("host", "domain")):
         units = level[name].crossJoin(F.broadcast(top)) if above is None else level[name].join(means, above)  # top: one row
