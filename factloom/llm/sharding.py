@@ -54,11 +54,18 @@ def differencing(items: list[list[int]], shards: int) -> list[list[int]]:
     return out
 
 
-def _groups_of_cell(shards: int):
+def _groups_of_cell(shards: int, ahead: list[int], cells: int):
+    """Difference a cell's groups. Where large groups put some shards ahead, the cell starts from its share of that as
+    one more partial partition, whose parts then name the shards."""
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["bytes", "h", "crc", "size"], ascending=False).reset_index(drop=True)
-        placed = differencing([[n] + [0] * (shards - 1) for n in pdf["bytes"].tolist()], shards)
-        return pdf.assign(part=[p[0] for p in placed])
+        cell = int(pdf["item"].iloc[0])
+        items = [[n] + [0] * (shards - 1) for n in pdf["bytes"].tolist()]
+        if not ahead:
+            return pdf.assign(part=[p[0] for p in differencing(items, shards)])
+        placed = differencing([[x // cells + (cell < x % cells) for x in ahead], *items], shards)
+        shard_at = {at: s for s, at in enumerate(placed[0])}
+        return pdf.assign(part=[shard_at[p[0]] for p in placed[1:]])
 
     return run
 
@@ -91,9 +98,10 @@ def shard_by_bytes(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", te
     """doc_id, size, text_crc32, shard, slot for every row of docs.
 
     size is the UTF-8 bytes of the text plus 1. Equal texts form one group, which stays in one shard; a null text
-    counts as an empty one and is grouped with it. Groups are dealt by hash to cells of about `cell` groups; each
-    cell is differenced alone, then the cells' partial partitions are differenced level by level in the same way.
-    A group larger than a shard's share leaves its shard that much larger. Null and repeated ids are kept as rows
+    counts as an empty one and is grouped with it. Groups are dealt by hash to cells of about `cell` groups. Groups
+    too large for a cell to balance are differenced first, and each cell goes on from its share of the difference
+    that they leave. Without such groups each cell is differenced alone, then the cells' partial partitions are
+    differenced level by level in the same way. A group larger than a shard's share leaves its shard that much larger. Null and repeated ids are kept as rows
     of their own. An empty table gives no rows. Other columns are ignored.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
@@ -102,16 +110,31 @@ def shard_by_bytes(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", te
     n, rows = groups.agg(F.count("*"), F.sum(F.expr("bytes div size"))).first()
     items = max(1, -(-n // cell))
     groups = groups.withColumn("item", F.pmod(F.xxhash64("h", "crc"), F.lit(items)))
-    schema = "h long, crc long, size long, bytes long, item long, part int"
-    groups = cut(groups.groupBy("item").applyInPandas(_groups_of_cell(shards), schema))
-    cells = groups.groupBy("item", "part").agg(F.sum("bytes").alias("bytes")).select(F.col("item").alias("cell"), F.col("part").alias("first"), "item", "part", "bytes")
-    while True:
-        level = cells.groupBy("item", "part").agg(F.sum("bytes").alias("bytes"))
-        placed = level.groupBy(F.floor(F.col("item") / cell)).applyInPandas(_cells_of_cell(shards), "item long, part int, next int")
-        cells = cut(cells.join(placed, ["item", "part"]).select("cell", "first", F.floor(F.col("item") / cell).cast("long").alias("item"), F.col("next").alias("part"), "bytes"))
-        if items <= cell:
-            break
-        items = -(-items // cell)
-    where = groups.join(cells.select(F.col("cell").alias("item"), F.col("first").alias("part"), F.col("part").alias("shard")), ["item", "part"]).select("h", "crc", "size", "shard")
-    out = base.join(where, ["h", "crc", "size"])
+    total = groups.agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0]
+    key = ["h", "crc", "size"]
+    # groups above a cell's share of a shard, of which no more than a cell's number are taken out
+    large = groups.filter(F.col("bytes") > total // (shards * items) + 1).orderBy(F.desc("bytes"), *key).limit(cell).collect() if items > 1 else []
+    ahead, first = [], None
+    if large:
+        placed = [p[0] for p in differencing([[r["bytes"]] + [0] * (shards - 1) for r in large], shards)]
+        sums = [0] * shards
+        for r, s in zip(large, placed, strict=True):
+            sums[s] += r["bytes"]
+        ahead = [x - min(sums) for x in sums]
+        first = docs.sparkSession.createDataFrame([(r["h"], r["crc"], r["size"], s) for r, s in zip(large, placed, strict=True)], "h long, crc long, size long, shard int")
+        groups = groups.join(F.broadcast(first), key, "left_anti")  # at most `cell` rows
+    groups = cut(groups.groupBy("item").applyInPandas(_groups_of_cell(shards, ahead, items), "h long, crc long, size long, bytes long, item long, part int"))
+    if large:
+        where = groups.select(*key, F.col("part").alias("shard")).unionByName(first)
+    else:
+        cells = groups.groupBy("item", "part").agg(F.sum("bytes").alias("bytes")).select(F.col("item").alias("cell"), F.col("part").alias("first"), "item", "part", "bytes")
+        while True:
+            level = cells.groupBy("item", "part").agg(F.sum("bytes").alias("bytes"))
+            placed = level.groupBy(F.floor(F.col("item") / cell)).applyInPandas(_cells_of_cell(shards), "item long, part int, next int")
+            cells = cut(cells.join(placed, ["item", "part"]).select("cell", "first", F.floor(F.col("item") / cell).cast("long").alias("item"), F.col("next").alias("part"), "bytes"))
+            if items <= cell:
+                break
+            items = -(-items // cell)
+        where = groups.join(cells.select(F.col("cell").alias("item"), F.col("first").alias("part"), F.col("part").alias("shard")), ["item", "part"]).select(*key, "shard")
+    out = base.join(where, key)
     return slots(out, F.col("shard"), [F.col("doc_id"), F.col("crc"), F.col("size")], rows or 0).select("doc_id", "size", F.col("crc").alias("text_crc32"), "shard", F.col("slot").cast("long"))
