@@ -20,10 +20,10 @@ STEMS = range(4, 9)
 #: Words on each side of a hit that count as its context.
 WINDOW = 8
 #: Partial counts of terms that a task holds before it passes them on.
-HELD_COUNTS = 200_000
+HELD_COUNTS, PIECE = 200_000, 20_000
 #: Tokens whose match a task keeps.
 KEPT_TOKENS = 200_000
-PUNCTUATION = ".,;:!?\"'()[]{}<>«»“”„‘’*_~`…-–—|/\\"
+PUNCTUATION = ".,;:!?\"'()[]{}<>«»“”„‘’*_~`…-–—|/\\#%&$@+="
 QUOTES = "\"«»“”„"
 REPORTING = frozenset("said says say wrote writes called calls quote quoted quotes word term dit disait écrit sagte sagt schrieb dijo dice escribió".split())
 
@@ -164,12 +164,13 @@ def _count_terms(batches):
     """(term, stem, toxic, clean): partial counts of documents that hold a word, or a word with that beginning."""
     counts: tuple[Counter, Counter] = (Counter(), Counter())
 
-    def out():
+    def out():  # in pieces, which keeps each record batch small
         terms = list(counts[0].keys() | counts[1].keys())
         frame = pd.DataFrame({"term": [t for t, _ in terms], "stem": [s for _, s in terms], "toxic": [counts[1][t] for t in terms], "clean": [counts[0][t] for t in terms]})
         counts[0].clear()
         counts[1].clear()
-        return frame
+        for at in range(0, len(frame), PIECE):
+            yield frame.iloc[at : at + PIECE]
 
     for pdf in batches:
         for text, toxic in zip(pdf["text"], pdf["toxic"], strict=True):
@@ -178,8 +179,8 @@ def _count_terms(batches):
             counts[int(toxic)].update((w, False) for w in words)
             counts[int(toxic)].update({(w[:n], True) for w in words for n in STEMS if len(w) > n})
             if len(counts[0]) + len(counts[1]) > HELD_COUNTS:
-                yield out()
-    yield out()
+                yield from out()
+    yield from out()
 
 
 def choose_terms(rows: list[tuple[str, bool, int, int]], n_toxic: int, n_clean: int, lift: float = 2.5) -> list[tuple[str, bool, float]]:
