@@ -12,10 +12,12 @@ from factloom.llm.common import components, cut
 
 #: SetSketch parameters: base, rate and limit of the registers, which are 16 bits wide.
 BASE, RATE, LIMIT = 1.001, 20.0, 65534
-REGISTERS, BAND = 160, 5
+REGISTERS, BAND = 192, 6
 #: Registers are estimates: a pair is dropped before verification if its estimate is this far below the threshold,
-#: about six standard deviations.
-MARGIN = 0.2
+#: nearly five standard deviations.
+MARGIN = 0.14
+#: Bands whose buckets give the first links, and members of a bucket that one task compares with each other.
+FIRST_BANDS, TILE = 6, 512
 #: Words whose hash a task keeps, in each of two generations.
 KEPT_WORDS = 200_000
 _MIX1, _MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -134,6 +136,43 @@ def _likely(threshold: float):
     return run
 
 
+def _cross(threshold: float):
+    """Likely pairs of different components among the members of one or two tiles; rows come sorted by group."""
+    def pairs(pdf: pd.DataFrame) -> pd.DataFrame | None:
+        c, n, ids = pdf["c"].to_numpy(), pdf["n"].to_numpy(float), pdf["rep"].to_numpy()
+        side = pdf["side"].to_numpy()
+        x = np.frombuffer(b"".join(pdf["regs"]), dtype=np.uint16).reshape(len(pdf), -1)
+        low = np.flatnonzero(side == 0)
+        high = np.flatnonzero(side == 1) if (side == 1).any() else low
+        found = []
+        for i in low.tolist():
+            j = high[(c[high] != c[i]) & ((side[high] == 1) | (high > i))]
+            j = j[np.minimum(n[j], n[i]) >= threshold * np.maximum(n[j], n[i]) - 1e-9]
+            if len(j):
+                j = j[(x[j] == x[i]).mean(axis=1) >= threshold - MARGIN - 0.1]  # a cheap bound; the rest by likelihood
+            if len(j):
+                j = j[joint_estimate(np.broadcast_to(x[i], (len(j), x.shape[1])), x[j], np.full(len(j), n[i]), n[j]) >= threshold - MARGIN]
+                found.append(pd.DataFrame({"a": np.minimum(ids[j], ids[i]), "b": np.maximum(ids[j], ids[i])}))
+        return pd.concat(found) if found else None
+
+    def run(batches):
+        held, current = [], None
+        for batch in batches:
+            keys = batch["grp"].to_numpy()
+            cuts = np.flatnonzero(keys[1:] != keys[:-1]) + 1
+            for at in np.split(np.arange(len(batch)), cuts):
+                if len(at):
+                    if keys[at[0]] != current:
+                        if held and (out := pairs(pd.concat(held) if len(held) > 1 else held[0])) is not None:
+                            yield out
+                        held, current = [], keys[at[0]]
+                    held.append(batch.iloc[at[0] : at[-1] + 1])
+        if held and (out := pairs(pd.concat(held))) is not None:
+            yield out
+
+    return run
+
+
 def _verified(size: int, num: int, den: int):
     def run(batches):
         known, last = _Words(), {}
@@ -152,14 +191,15 @@ def _verified(size: int, num: int, den: int):
     return run
 
 
-def near_duplicates(docs: DataFrame, size: int = 5, similarity: tuple[int, int] = (80, 100), id_col: str = "doc_id", text_col: str = "text", rounds: int = 4) -> DataFrame:
+def near_duplicates(docs: DataFrame, size: int = 5, similarity: tuple[int, int] = (80, 100), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of docs.
 
     Rows with equal sets become one representative, the smallest id. Representatives that share a band of
     registers are candidates; a candidate pair is linked if the whole sets pass den * intersection >= num * union.
-    In a bucket of a band every member is first compared with one hub, so that a group of copies costs a pair
-    for each member; members that links have not brought together get another hub, and in the end all pairs of a
-    bucket that are still in different components are compared, so none is lost. Sets are compared in full.
+    A bucket's members are first compared with one hub each, drawn anew for every bucket, so that a group of copies
+    costs a few pairs for each member: in the buckets of the first bands, then in all buckets whose members are
+    not yet in one component. In the end every pair of a bucket that is still in different components is
+    compared, by sketch in tiles of bounded size and then in full, so that none is lost.
 
     component_id is the smallest id that links reach, itself included; kept tells that it is the row's own. A null
     or empty text, or one without words, has n_shingles 0 and its own component. Rows with a null id are linked
@@ -172,44 +212,37 @@ def near_duplicates(docs: DataFrame, size: int = 5, similarity: tuple[int, int]
     reps = cut(usable.groupBy("k1", "k2").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("regs").alias("regs")))
     width = 2 * BAND
     keys: list[Column] = [F.xxhash64(F.lit(i), F.substring("regs", 1 + i * width, width)) for i in range(REGISTERS // BAND)]
-    bands = reps.select("rep", F.explode(F.array(*keys)).alias("key"))
-    shared = bands.groupBy("key").agg(F.min("rep").alias("hub"), F.max("rep").alias("high")).filter("hub <> high").select("key", "hub")
+    bands = reps.select("rep", F.posexplode(F.array(*keys)).alias("band", "key"))
+    shared = bands.groupBy("key").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).filter("low <> high").select("key")
     buckets = cut(bands.join(shared, "key"))
     by_id = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).alias("t"))
     one = reps.groupBy("rep").agg(F.first("n").alias("n"), F.first("regs").alias("r"))
 
-    def verify(pairs: DataFrame) -> DataFrame:
-        a, b = (one.select(F.col("rep").alias(c), F.col("n").alias(f"n{c}"), F.col("r").alias(f"r{c}")) for c in "ab")
-        likely = cut(pairs.join(a, "a").join(b, "b").mapInPandas(_likely(num / den), "a long, b long"))
+    def verify(likely: DataFrame) -> DataFrame:
         a, b = (by_id.select(F.col("rep").alias(c), F.col("t").alias(f"t{c}")) for c in "ab")
-        return likely.join(a, "a").join(b, "b").mapInPandas(_verified(size, num, den), "a long, b long").distinct()
+        return cut(likely.join(a, "a").join(b, "b").mapInPandas(_verified(size, num, den), "a long, b long").distinct())
+
+    def with_hubs(members: DataFrame, salt: int) -> DataFrame:
+        """Each member's pair with the hub of its bucket; members of the hub's component need none."""
+        drawn = members.groupBy("key").agg(F.min(F.struct(F.xxhash64("rep", "key", F.lit(salt)).alias("h"), F.col("rep").alias("hub"), F.col("c").alias("hc"))).alias("m")).select("key", "m.hub", "m.hc")
+        pairs = members.join(drawn, "key").filter("c <> hc").select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b")).distinct()
+        a, b = (one.select(F.col("rep").alias(c), F.col("n").alias(f"n{c}"), F.col("r").alias(f"r{c}")) for c in "ab")
+        return verify(cut(pairs.join(a, "a").join(b, "b").mapInPandas(_likely(num / den), "a long, b long")))
 
-    def settled(links: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """Components, and members (with component c) of the buckets that hold more than one."""
-        found = components(links)
+    def unsettled(found: DataFrame) -> DataFrame:
+        """Members, with component c, of the buckets that hold more than one component, and the bucket's size."""
         members = buckets.select("key", "rep").join(found.withColumnRenamed("id", "rep"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("c"))
-        spread = members.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count("*").alias("size")).filter("low <> high")
-        return found, members.join(spread, "key")
-
-    tried = cut(buckets.filter("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct())
-    links = cut(verify(tried))
-    found, open_members = settled(links)
-    for _ in range(rounds):
-        open_members = cut(open_members)
-        pairs, members = open_members.select(F.expr("sum(size)")).first()[0] or 0, open_members.count()
-        if pairs <= 30 * members:  # the buckets left are small
-            break
-        hubs = open_members.filter("c = high").groupBy("key").agg(F.min(F.struct(F.xxhash64("rep"), "rep")).getField("rep").alias("hub"))
-        new = open_members.filter("c <> high").join(hubs, "key").select(F.least("hub", "rep").alias("a"), F.greatest("hub", "rep").alias("b")).distinct()
-        new = cut(new.join(tried, ["a", "b"], "left_anti"))
-        tried, more = tried.unionByName(new), cut(verify(new))
-        links = links.unionByName(more)
-        if not more.limit(1).count():
-            break
-        found, open_members = settled(links)
-    left, right = (open_members.select("key", F.col("rep").alias(x), F.col("c").alias(f"c{x}")) for x in "ab")
-    rest = left.join(right, "key").filter("ca <> cb and a < b").select("a", "b").distinct().join(tried, ["a", "b"], "left_anti")
-    last = cut(verify(cut(rest)))
+        spread = members.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count("*").alias("size")).filter("low <> high").select("key", "size")
+        return cut(members.join(spread, "key"))
+
+    links = with_hubs(buckets.filter(F.col("band") < FIRST_BANDS).select("key", "rep", F.col("rep").alias("c")), 1)
+    links = links.unionByName(with_hubs(unsettled(components(links)), 2))
+    found = components(links)
+    rest = unsettled(found).withColumn("tiles", F.ceil(F.col("size") / TILE)).withColumn("t", F.pmod(F.xxhash64("rep", F.lit(3)), F.col("tiles")))
+    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1))
+    dealt = rest.withColumn("o", other).select(F.xxhash64("key", F.least("t", "o"), F.greatest("t", "o")).alias("grp"), (F.col("t") > F.col("o")).cast("int").alias("side"), "rep", "c")
+    dealt = dealt.join(one.withColumnRenamed("r", "regs"), "rep").repartition("grp").sortWithinPartitions("grp", "side", "rep")
+    last = verify(cut(dealt.mapInPandas(_cross(num / den), "a long, b long").distinct()))
     if last.limit(1).count():
         found = components(links.unionByName(last))
     of_rep = reps.join(found.withColumnRenamed("id", "rep"), "rep", "left").select("k1", "k2", F.coalesce("component", "rep").alias("c"))
