@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 #: Segments whose ids a task keeps, in each of two generations; longer segments are never kept.
-KEPT, KEPT_LENGTH = 150_000, 48
+KEPT, KEPT_LENGTH = 250_000, 48
 UNIGRAM, BPE = 1, 2
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 
@@ -25,7 +25,7 @@ class _Kept(dict):
         super().__init__()
         self.make, self.older = make, {}
 
-    def __missing__(self, segment: str) -> list[int]:
+    def __missing__(self, segment: str) -> tuple[int, ...]:
         found = self.older.get(segment)
         if found is None:
             found = self.make(segment)
@@ -63,7 +63,8 @@ class Codec:
         self.scores = [p.score for p in proto.pieces]
         self.bytes_ = {int(p.piece[3:-1], 16): i for i, p in enumerate(proto.pieces) if p.type == BYTE}
         self.byte_of = {i: b for b, i in self.bytes_.items()}
-        self.silent = {i for i, p in enumerate(proto.pieces) if p.type == CONTROL}
+        self.multibyte = {i for b, i in self.bytes_.items() if b > 127}
+        self.shown = ["" if p.type == CONTROL else chr(int(p.piece[3:-1], 16)) if p.type == BYTE else p.piece.replace(SPACE, " ") for p in proto.pieces]
         self.unknown = next((i for i, p in enumerate(proto.pieces) if p.type == UNKNOWN), 0)
         self.longest = max(map(len, self.ids), default=1)
         self.floor = min((self.scores[i] for i in self.ids.values()), default=0.0) - 10.0
@@ -75,13 +76,14 @@ class Codec:
                 self.trie[p[:n]] = self.trie.get(p[:n], 0) | 1
         self.fits: dict[str, dict[str, bool]] = {}
         self.whole: dict[str, bool] = {}
-        self.seen, self.words = _Kept(self._segment), _Kept(self._word)
+        self.seen, self.words, self.bare = _Kept(self._segment), _Kept(self._word), _Kept(self._bare)
         joined = {c for p in many for c in p} - {SPACE}
         inner = any(SPACE in p.lstrip(SPACE) for p in many)
         of = "".join(map(re.escape, sorted(joined))) or "\\0"
         # between these segments no piece can lie, so paths always converge there
         self.segments = re.compile(f"(?s)[{of}{SPACE}]+|." if inner else f"(?s){SPACE}*[{of}]+|{SPACE}+|.").findall
-        self.apart = self.prefix and not inner  # words can be encoded apart, each with the space before it
+        # words can be encoded apart, each with the space before it, and so can lines
+        self.apart, self.newline = self.prefix and not inner and "\n" not in joined, self._ids_of("\n")
         after = {b for p in many for a, b in zip(p, p[1:], strict=False) if a.isalpha() and not b.isalpha()}
         cuts = "".join(re.escape(c) for c in sorted(joined) if not c.isalpha() and c not in after)
         self.finer = re.compile(f"(?s)(?<=[^\\W\\d_])(?=[{cuts}])").split if cuts and not inner else None
@@ -199,23 +201,46 @@ class Codec:
             return [known]
         return [self.bytes_[b] for b in piece.encode("utf-8", "surrogatepass")] if self.bytes_ else [self.unknown]
 
-    def _segment(self, segment: str) -> list[int]:
+    def _segment(self, segment: str) -> tuple[int, ...]:
         parts = self.finer(segment) if self.finer else [segment]
         if len(parts) > 1:
-            return [x for p in parts for x in self.seen[p]]
+            return tuple(chain.from_iterable(map(self.seen.__getitem__, parts)))
         pieces = self._merged_pieces(segment) if self.kind == BPE and len(segment) <= KEPT_LENGTH else self.encode_stream(segment)
-        return [x for p in pieces for x in self._ids_of(p)]
+        return tuple(chain.from_iterable(map(self._ids_of, pieces)))
 
-    def _word(self, word: str) -> list[int]:
-        return [x for s in self.segments(SPACE + word) for x in self.seen[s]]
+    def _bare(self, text: str) -> tuple[int, ...]:
+        """Ids of text that follows a boundary, without a space before it."""
+        return tuple(chain.from_iterable(map(self.seen.__getitem__, self.segments(text))))
+
+    def _word(self, word: str) -> tuple[int, ...]:
+        """Ids of a word with the space before it; what no piece can join to its first letters is kept apart."""
+        parts = self.finer(word) if self.finer else [word]
+        if len(parts) > 1:
+            return self.words[parts[0]] + tuple(chain.from_iterable(map(self.bare.__getitem__, parts[1:])))
+        segments = self.segments(SPACE + word)
+        return self._segment(segments[0]) if len(segments) == 1 else tuple(chain.from_iterable(map(self.seen.__getitem__, segments)))
+
+    def _by_words(self, text: str) -> list[int] | None:
+        """Ids by lines and words; None where spaces run together."""
+        out: list[int] = []
+        for n, line in enumerate(text.split("\n")):
+            words = line.split(" ")
+            if n:
+                out += self.newline
+                first = words[0]
+                if first:
+                    out += self.bare[first]
+                del words[0]
+            if "" in words:
+                return None
+            out += chain.from_iterable(map(self.words.__getitem__, words))
+        return out
 
     def encode(self, text: str) -> list[int]:
         if not text:
             return []
-        words = text.split(" ") if self.apart and SPACE not in text else [""]
-        if "" not in words:
-            out = list(chain.from_iterable(map(self.words.__getitem__, words)))
-        else:
+        out = self._by_words(text) if self.apart and SPACE not in text else None
+        if out is None:
             text = text.replace(" ", SPACE)
             out = list(chain.from_iterable(map(self.seen.__getitem__, self.segments(SPACE + text if self.prefix else text))))
         if not self.bytes_ and self.unknown in out:  # neighbours of unknown characters are one unknown piece
@@ -224,23 +249,20 @@ class Codec:
 
     def decode(self, ids: list[int]) -> str:
         """Text of ids; byte pieces are joined and read as UTF-8, control pieces are silent."""
-        byte_of, pieces = self.byte_of, self.pieces
-        if byte_of.keys().isdisjoint(ids):
-            text = "".join([pieces[i] for i in ids if i not in self.silent])
+        if self.multibyte.isdisjoint(ids):  # a byte below 128 is a character by itself
+            text = "".join(map(self.shown.__getitem__, ids))
         else:
             parts, run = [], bytearray()
             for i in ids:
-                if i in byte_of:
-                    run.append(byte_of[i])
+                if i in self.byte_of:
+                    run.append(self.byte_of[i])
                     continue
                 if run:
                     parts.append(run.decode("utf-8", "replace"))
                     run = bytearray()
-                if i not in self.silent:
-                    parts.append(pieces[i])
+                parts.append(self.shown[i])
             parts.append(run.decode("utf-8", "replace"))
             text = "".join(parts)
-        text = text.replace(SPACE, " ")
         return text[1:] if self.prefix and text[:1] == " " else text
 
 
