@@ -195,6 +195,28 @@ def test_sharding(spark):
     assert sharding.shard_by_bytes(df.limit(0)).count() == 0
 
 
+def spread(df, shards, cell):
+    sums, where = [0] * shards, {}
+    for r in sharding.shard_by_bytes(df, shards, cell=cell).collect():
+        sums[r["shard"]] += r["size"]
+        where.setdefault((r["text_crc32"], r["size"]), set()).add(r["shard"])
+    assert all(len(s) == 1 for s in where.values())
+    return max(sums) - min(sums), sum(sums) / shards
+
+
+def test_sharding_with_large_groups(spark):
+    # cells of equal texts leave the same shards over, which a single large group must not make to add up
+    even = [(i, f"{i:0199d}") for i in range(1900)]
+    off, mean = spread(spark.createDataFrame([*even, (5000, "x" * 20000)], "doc_id long, text string"), 16, 64)
+    assert off <= 200 < 0.01 * mean
+    # more large groups than a cell holds, above a cell's room only once the larger ones are out
+    draw = random.Random(7)
+    steps = [(10000 + i, "y" * n + str(i)) for i, n in enumerate(sorted((draw.randint(800, 6000) for _ in range(150)), reverse=True))]
+    small = [(i, "z" * draw.randint(1, 60) + str(i)) for i in range(1500)]
+    off, mean = spread(spark.createDataFrame([*small, *steps], "doc_id long, text string"), 16, 64)
+    assert off < 0.002 * mean
+
+
 def test_budgets_go_to_siblings_first(spark):
     leaves = spark.createDataFrame([("web", "en", "a", 10), ("web", "en", "b", 1000), ("web", "de", "c", 1000), ("books", "en", "d", 1000)], "domain string, lang string, source string, tokens long")
     got = {r["source"]: r["budget"] for r in mixing.budgets(leaves, (1, 5), 1, weights={"domain": {}, "lang": {}, "source": {}}).collect()}
