@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -255,12 +257,75 @@ def emb_lsh_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best(_near(spark, sf_dir), ["query_id"], F.desc("cosine"), "vec_id", k=3).select("query_id", "vec_id", F.round("cosine", 6).alias("cosine"), "rank")
 
 
-@query(LSH_SQL + f""", e as (select q.vec_id as query_id, d.vec_id, row_number() over (partition by q.vec_id order by {COS_SQL} desc, d.vec_id) as rank from v q join v d on q.vec_id <> d.vec_id where q.vec_id % {EVERY} = 0)
-select e.query_id, count(r.vec_id) as n_found, (select count(*) from s where s.query_id = e.query_id) as n_examined from (select * from e where rank <= 3) e left join (select * from r where rank <= 3) r on r.query_id = e.query_id and r.vec_id = e.vec_id group by e.query_id""")
-def emb_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How many of the exact three best the index finds, and how many vectors it examines."""
-    near = _near(spark, sf_dir).checkpoint()
+def _recall(near: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:
+    near = near.checkpoint()
     got = best(near, ["query_id"], F.desc("cosine"), "vec_id", k=3).select("query_id", "vec_id", F.lit(1).alias("hit"))
     exact = best(_exact(spark, sf_dir), ["query_id"], F.desc("cosine"), "vec_id", k=3).select("query_id", "vec_id")
     seen = near.groupBy("query_id").agg(F.count("*").alias("n_examined"))
     return exact.join(got, ["query_id", "vec_id"], "left").groupBy("query_id").agg(F.count("hit").alias("n_found")).join(seen, "query_id")
+
+
+@query(LSH_SQL + f""", e as (select q.vec_id as query_id, d.vec_id, row_number() over (partition by q.vec_id order by {COS_SQL} desc, d.vec_id) as rank from v q join v d on q.vec_id <> d.vec_id where q.vec_id % {EVERY} = 0)
+select e.query_id, count(r.vec_id) as n_found, (select count(*) from s where s.query_id = e.query_id) as n_examined from (select * from e where rank <= 3) e left join (select * from r where rank <= 3) r on r.query_id = e.query_id and r.vec_id = e.vec_id group by e.query_id""")
+def emb_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many of the exact three best the index finds, and how many vectors it examines."""
+    return _recall(_near(spark, sf_dir), spark, sf_dir)
+
+
+# The same search by many tables of short signatures, as one table of long ones finds few of the true neighbours ---------
+
+TABLES, SHORT, LEAST = 48, 10, 3
+_short = random.Random(1)
+SHORT_SIGNS = [[[_short.choice((-1, 1)) for _ in range(DIM)] for _ in range(SHORT)] for _ in range(TABLES)]
+SHORT_MASKS = [0, *(1 << i for i in range(SHORT))]
+
+
+def _short_signed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """vec_id, t, sig: a vector's signature in each table."""
+    planes = np.array(SHORT_SIGNS, dtype=float).reshape(TABLES * SHORT, DIM).T
+
+    def run(batches):
+        for pdf in batches:
+            if len(pdf):
+                bits = np.round(np.stack(pdf["e"].to_numpy()) @ planes, 9) >= 0
+                sigs = bits.reshape(len(pdf), TABLES, SHORT) @ (1 << np.arange(SHORT))
+                yield pd.DataFrame({"vec_id": np.repeat(pdf["vec_id"].to_numpy(), TABLES), "t": np.tile(np.arange(TABLES), len(pdf)), "sig": sigs.ravel()})
+
+    return _vectors(spark, sf_dir).mapInPandas(run, "vec_id long, t int, sig long")
+
+
+def _near_by_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidates within Hamming distance 1 in any table; a query with fewer than LEAST meets all."""
+    v, g = _vectors(spark, sf_dir), _short_signed(spark, sf_dir).checkpoint()
+    q = g.filter(F.col("vec_id") % EVERY == 0).select(F.col("vec_id").alias("query_id"), "t", F.col("sig").alias("s"))
+    flipped = q.withColumn("m", F.explode(F.array(*[F.lit(m).cast("long") for m in SHORT_MASKS]))).withColumn("sig", F.expr("s ^ m"))
+    near = flipped.join(g, ["t", "sig"]).filter("query_id <> vec_id").select("query_id", "vec_id").distinct().checkpoint()
+    some = near.groupBy("query_id").agg(F.count("*").alias("n")).filter(F.col("n") >= LEAST).select("query_id")
+    held = v.select(F.col("vec_id").alias("query_id"), F.col("e").alias("q"))
+    lone = held.filter(F.col("query_id") % EVERY == 0).join(some, "query_id", "left_anti").withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(63))))
+    rest = lone.join(v.withColumn("b", F.pmod("vec_id", F.lit(64))), "b").filter("query_id <> vec_id").select("query_id", "vec_id", "q", "e")
+    found = near.join(some, "query_id").join(held, "query_id").join(v, "vec_id").select("query_id", "vec_id", "q", "e")
+    return found.unionByName(rest).select("query_id", "vec_id", _cosine("q", "e").alias("cosine"))
+
+
+TABLES_SQL = f"""with v as (select vec_id, list_transform(embedding, lambda x: x::double) as e from embeddings where len(embedding) = {DIM}),
+pl as (select t, unnest(range({SHORT})) as p, unnest(ps) as s from (select unnest(range({TABLES})) as t, unnest({SHORT_SIGNS}::double[][][]) as ps)),
+g as (select vec_id, t, sum(case when round(list_inner_product(e, s), 9) >= 0 then 1 << p else 0 end)::bigint as sig from v, pl group by all),
+c as (select distinct q.vec_id as query_id, d.vec_id from (select vec_id, t, xor(sig, m) as sig from g, (select unnest({SHORT_MASKS})::bigint as m) where vec_id % {EVERY} = 0) q join g d using (t, sig) where q.vec_id <> d.vec_id),
+o as (select query_id from c group by 1 having count(*) >= {LEAST}),
+s as (select c.query_id, c.vec_id, {COS_SQL} as cosine from c join o using (query_id) join v q on q.vec_id = c.query_id join v d on d.vec_id = c.vec_id union all
+  select q.vec_id, d.vec_id, {COS_SQL} from v q join v d on q.vec_id <> d.vec_id where q.vec_id % {EVERY} = 0 and q.vec_id not in (select query_id from o)),
+r as (select *, row_number() over (partition by query_id order by cosine desc, vec_id)::int as rank from s)"""
+
+
+@query(TABLES_SQL + " select query_id, vec_id, round(cosine, 6) as cosine, rank from r where rank <= 3")
+def emb_tables_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The three best of each query's candidates from the tables of short signatures."""
+    return best(_near_by_tables(spark, sf_dir), ["query_id"], F.desc("cosine"), "vec_id", k=3).select("query_id", "vec_id", F.round("cosine", 6).alias("cosine"), "rank")
+
+
+@query(TABLES_SQL + f""", e as (select q.vec_id as query_id, d.vec_id, row_number() over (partition by q.vec_id order by {COS_SQL} desc, d.vec_id) as rank from v q join v d on q.vec_id <> d.vec_id where q.vec_id % {EVERY} = 0)
+select e.query_id, count(r.vec_id) as n_found, (select count(*) from s where s.query_id = e.query_id) as n_examined from (select * from e where rank <= 3) e left join (select * from r where rank <= 3) r on r.query_id = e.query_id and r.vec_id = e.vec_id group by e.query_id""")
+def emb_tables_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many of the exact three best the tables find, and how many vectors they examine."""
+    return _recall(_near_by_tables(spark, sf_dir), spark, sf_dir)
