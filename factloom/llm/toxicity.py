@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 #: Labelled rows that the lexicon and the classifier are fitted on, at most; those of smallest hash are taken.
 FIT_ROWS = 16_000
-#: Terms of the lexicon, at most: the strongest.
+#: Terms of the lexicon, at most: those of most evidence.
 TERMS = 1_000
 #: Lengths of word beginnings that may become stems.
 STEMS = range(4, 9)
@@ -34,33 +34,36 @@ def held_out(doc_id: Column) -> Column:
 
 
 def allowed_edits(term: str, stem: bool) -> int:
-    return 0 if stem or len(term) < 5 else 1 if len(term) < 10 else 2
+    least = 5 if stem else 4
+    return 0 if len(term) < least else 1 if stem or len(term) < 10 else 2
 
 
 class Automaton:
     """The Levenshtein automata of all terms, intersected with the trie of the terms and made deterministic state
     by state as tokens need it. A state is the set of (trie node, edits so far) that a token's beginning can be at.
 
-    A whole word matches within allowed_edits of its length; a stem matches exactly, whatever follows it.
+    A whole word matches within allowed_edits of its length, one of four letters by letters replaced only. A stem
+    matches within its edits before its last letter, which must be there, whatever follows it: the state then has
+    ~node too.
     """
 
     def __init__(self, terms: list[tuple[str, bool]]) -> None:
         self.children: list[dict[str, int]] = [{}]
         self.ends: dict[int, tuple[int, int]] = {}  # node of a whole word: term, edits allowed
         self.stems: dict[int, int] = {}
+        self.limits: dict[int, int] = {}  # edits allowed in a stem
         self.budget = [0]
+        self.rigid: set[int] = set()  # nodes of the four-letter words, in a trie of their own
+        short = self._node(-1, "")
+        self.rigid.add(short)
         for n, (term, stem) in enumerate(terms):
-            limit, at = allowed_edits(term, stem), 0
-            self.budget[0] = max(self.budget[0], limit)
+            limit, at = allowed_edits(term, stem), short if len(term) == 4 and not stem else 0
+            self.budget[at] = max(self.budget[at], limit)
             for c in term:
-                if c not in self.children[at]:
-                    self.children[at][c] = len(self.children)
-                    self.children.append({})
-                    self.budget.append(0)
-                at = self.children[at][c]
+                at = self.children[at].get(c) or self._node(at, c)
                 self.budget[at] = max(self.budget[at], limit)
             if stem:
-                self.stems[at] = n
+                self.stems[at], self.limits[at] = n, limit
             else:
                 self.ends[at] = (n, limit)
         self.letters = {c for x in self.children for c in x}
@@ -68,11 +71,21 @@ class Automaton:
         self.members: list[frozenset] = []
         self.moves: list[dict[str, int]] = []
         self.accepts: list[tuple[int, int] | None] = []
-        self.stem_at: list[int | None] = []
-        self.start = self._state({0: 0})
+        self.stem_at: list[tuple[int, int] | None] = []
+        self.start = self._state({0: 0, short: 0})
+
+    def _node(self, parent: int, c: str) -> int:
+        new = len(self.children)
+        self.children.append({})
+        self.budget.append(0)
+        if parent >= 0:
+            self.children[parent][c] = new
+            if parent in self.rigid:
+                self.rigid.add(new)
+        return new
 
     def _state(self, nodes: dict[int, int]) -> int:
-        todo = list(nodes.items())
+        todo = [(node, e) for node, e in nodes.items() if node >= 0 and node not in self.rigid]
         while todo:  # letters of the term that the token lacks
             node, e = todo.pop()
             if nodes[node] == e:
@@ -87,7 +100,7 @@ class Automaton:
             self.moves.append({})
             ends = [(e, *self.ends[n]) for n, e in key if n in self.ends and e <= self.ends[n][1]]
             self.accepts.append(min(ends)[:2] if ends else None)
-            self.stem_at.append(next((self.stems[n] for n, e in key if n in self.stems and e == 0), None))
+            self.stem_at.append(min(((e, self.stems[~n]) for n, e in key if n < 0), default=None))
         return self.states[key]
 
     def _move(self, state: int, c: str) -> int:
@@ -98,9 +111,14 @@ class Automaton:
                 nodes[node] = e
 
         for node, e in self.members[state]:
-            reach(node, e + 1)  # a letter too many
+            if node < 0:
+                continue
+            if node not in self.rigid:
+                reach(node, e + 1)  # a letter too many
             for letter, child in self.children[node].items():
                 reach(child, e + (letter != c))
+                if letter == c and child in self.stems and e <= self.limits[child]:
+                    nodes[~child] = min(e, nodes.get(~child, 99))
         to = self._state(nodes) if nodes else -1
         self.moves[state][c] = to
         return to
@@ -115,12 +133,13 @@ class Automaton:
             state = self._move(state, c) if to is None else to
             if state < 0:
                 break
-            if self.stem_at[state] is not None:
-                stem = self.stem_at[state]
+            ends = self.stem_at[state]
+            if ends is not None and (stem is None or ends[0] <= stem[0]):
+                stem = ends
         found = self.accepts[state] if state >= 0 else None
-        if found and (found[0] == 0 or stem is None):
+        if found and (stem is None or found[0] <= stem[0]):
             return found[1], found[0]
-        return (stem, 0) if stem is not None else None
+        return (stem[1], stem[0]) if stem is not None else None
 
 
 class Matcher(dict):
@@ -185,7 +204,8 @@ def _count_terms(batches):
 
 def choose_terms(rows: list[tuple[str, bool, int, int]], n_toxic: int, n_clean: int, lift: float = 2.5) -> list[tuple[str, bool, float]]:
     """Whole words and stems with a log odds of at least lift. A stem is taken only if it covers clearly more toxic
-    documents than any single word that begins so, and the longest of equally good stems."""
+    documents than any single word that begins so, and the longest of equally good stems. Words stay beside their stem,
+    which is short of their ends. The TERMS of most toxic documents times log odds are kept."""
     def odds(toxic: int, clean: int) -> float:
         return math.log((toxic + 0.5) / (n_toxic + 1)) - math.log((clean + 0.5) / (n_clean + 1))
 
@@ -203,9 +223,9 @@ def choose_terms(rows: list[tuple[str, bool, int, int]], n_toxic: int, n_clean:
         if not any(x >= 0.97 * a for x in longer) and not shorter:
             kept[t, True] = w
     for (t, s), (_, w) in good.items():
-        if not s and not any((t[:n], True) in kept for n in STEMS):
+        if not s:
             kept[t, False] = w
-    strongest = sorted(kept.items(), key=lambda x: (-x[1], x[0]))[:TERMS]
+    strongest = sorted(kept.items(), key=lambda x: (-good[x[0]][0] * x[1], x[0]))[:TERMS]
     return [(t, s, round(w, 6)) for (t, s), w in strongest]
 
 

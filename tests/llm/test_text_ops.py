@@ -182,6 +182,14 @@ def test_automaton_is_edit_distance():
         assert (None if got is None else got[1]) == want, t
 
 
+def test_misspelled_stems_and_short_words():
+    a = toxicity.Automaton([("idiot", True), ("vequ", True), ("scum", False), ("idiotic", False)])
+    for token, want in [("idiots", (0, 0)), ("idi0ts", (0, 1)), ("idots", (0, 1)), ("xidiots", (0, 1)), ("idiioting", (0, 1)), ("idi0tic", (3, 1)), ("idioms", None), ("idio", None), ("i0i0ts", None), ("veqx", None), ("scvm", (2, 1)), ("scum", (2, 0)), ("sum", None), ("scums", None), ("sxvm", None)]:
+        assert a.match(token) == want, token
+    rows = [("idiot", True, 30, 0), ("idiots", False, 15, 0), ("idiotic", False, 15, 0), ("scum", False, 20, 0)]
+    assert {(t, s) for t, s, _ in toxicity.choose_terms(rows, 60, 600)} == {(t, s) for t, s, _, _ in rows}
+
+
 TOXIC = [(i, f"plain words number {i} here and you are a stupid moron today", 1) for i in range(1, 60)] + [(i, f"plain words number {i} here and nothing bad at all today", 0) for i in range(60, 400)]
 
 
