@@ -50,6 +50,8 @@ def acyclic_tree(nodes: DataFrame, rounds: int = 100) -> DataFrame:
         if not level.limit(1).count():
             break
         seen = seen.unionByName(level)
+    else:
+        raise ValueError(f"acyclic_tree: not settled in {rounds} rounds")
     lost = own.select("slug", "id").distinct().join(seen, ["slug", "id"], "left_anti")
     return _none_left(nodes, lost.unionByName(twice), "acyclic_tree", F.col("id"))
 
@@ -112,6 +114,8 @@ def reasoning_acyclic(relations: DataFrame, rounds: int = 500) -> DataFrame:
         if m == n or not m:
             break
         n = m
+    else:
+        raise ValueError(f"reasoning_acyclic: not settled in {rounds} rounds")
     return _none_left(relations, left, "reasoning_dag_acyclic", F.col("subject"))
 
 

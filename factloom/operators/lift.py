@@ -123,5 +123,7 @@ def systematicity(relation: DataFrame, rounds: int = 200) -> DataFrame:
         if total == last:
             break
         last = total
+    else:
+        raise ValueError(f"systematicity: not settled in {rounds} rounds")
     deepest = depth.groupBy("slug").agg(F.max("d").alias("m"))
     return relation.select("slug").distinct().join(n, "slug", "left").join(deepest, "slug", "left").select("slug", F.coalesce("n", F.lit(0)).alias("n_higher_order_relations"), F.coalesce("m", F.lit(0)).alias("max_reasoning_depth"), (F.coalesce("n", F.lit(0)) * (1 + F.coalesce("m", F.lit(0)))).alias("systematicity_score"))

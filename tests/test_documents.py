@@ -127,3 +127,14 @@ def test_title_comparison(spark):
     df = spark.createDataFrame([("d", ["Introduction", "Methods and data", "Other"], ["Introductions", "Methods and datas"])], "slug string, ours array<string>, theirs array<string>")
     row = checks.compare_sections(df).first()
     assert (row["n"], row["matched"], row["recall"]) == (3, 2, 0.6667)
+
+
+def test_used_up_rounds_are_told(spark):
+    from factloom.operators import checks, lift
+
+    nodes = spark.createDataFrame([("s", str(i), str(i - 1) if i else None) for i in range(5)], "slug string, id string, parent_id string")
+    chain = spark.createDataFrame([("s", str(i), str(i + 1), True) for i in range(5)], "slug string, subject string, object string, higher_order boolean")
+    with pytest.raises(ValueError, match="acyclic_tree"):
+        checks.acyclic_tree(nodes, rounds=2)
+    with pytest.raises(ValueError, match="systematicity"):
+        lift.systematicity(chain, rounds=2)
