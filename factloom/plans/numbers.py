@@ -90,13 +90,40 @@ def event_chi2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.join(mu, "s").groupBy("user_id").agg(F.round(F.sum(F.col("d") * F.col("d") / F.col("mu")) - 1, 6).alias("chi2"))
 
 
-@query()
+def _power_sql(rows: str, steps: int) -> str:
+    """CTEs that end in top(id, norm): the largest singular value of the matrices s of rows (id, s), by power iteration."""
+    return f"""ms as (select id, s, list_transform(range(1, len(s) + 1), lambda j: list_transform(s, lambda r: r[j])) as t from {rows}),
+pw(id, k, s, t, v) as (select id, 0, s, t, list_transform(s, lambda r: 1.0::double / sqrt(len(s))) from ms union all
+  select id, k + 1, s, t, list_transform(w, lambda x: x / sqrt(list_inner_product(w, w))) from (select id, k, s, t, list_transform(t, lambda c: list_inner_product(c, list_transform(s, lambda r: list_inner_product(r, v)))) as w from pw where k < {steps})),
+top as (select id, sqrt(list_sum(list_transform(s, lambda r: pow(list_inner_product(r, v), 2)))) as norm from pw where k = {steps})"""
+
+
+@query(f"""{STATION_SQL}, mm as (select list(row order by i) as m from (select i, list(coalesce(v, 0) order by j) as row from pm group by i)),
+mu as (select 'norm' as id, d as mu from it where k = {STEPS} union all select 'uniform', list_transform(d, lambda x: 1.0::double) from it where k = 0),
+sc as (select id, list_transform(range(1, len(m) + 1), lambda i: list_transform(range(1, len(m) + 1), lambda j: sqrt(mu[i] / mu[j]) * m[i][j])) as s from mu, mm), {_power_sql("sc", 400)}
+select (select len(m) from mm)::int as n_states, round(max(case when id = 'norm' then norm end), 6) as norm, round(max(case when id = 'uniform' then norm end), 6) as norm_uniform from top""")
 def event_opnorm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The operator norm of the transition matrix in the norm weighted by its stationary distribution."""
-    row = _matrix(spark, sf_dir).first()  # one row over the event types
-    p = [list(r) for r in row["p"]]
-    d = N.dense_stationary(p, 400)
-    return spark.createDataFrame([(len(d), round(N.weighted_norm(p, d), 6))], "n_states int, norm double")
+    """The operator norm of the transition matrix with its stationary distribution as weights, which is 1, and with equal ones."""
+    m = _matrix(spark, sf_dir).withColumn("d", N.stationary_of(F.col("p")))
+    same = F.transform("d", lambda _: F.lit(1.0))
+    return m.select(F.size("d").alias("n_states"), F.round(N.weighted_norm(F.col("p"), F.col("d")), 6).alias("norm"), F.round(N.weighted_norm(F.col("p"), same), 6).alias("norm_uniform"))
+
+
+def _chains() -> list:
+    """The published draws of the chains, as the SQL's constants."""
+    rng = random.Random(0)
+    return [[[rng.random() + 1e-3 for _ in range(6)] for _ in range(6)] for _ in range(5)]
+
+
+@query(f"""with recursive raw as (select unnest(range(5))::int as trial, unnest({_chains()}::double[][][]) as m), ch as (select trial, list_transform(m, lambda r: list_transform(r, lambda x: x / list_sum(r))) as p from raw),
+st(trial, k, p, d) as (select trial, 0, p, list_transform(p, lambda r: 1.0::double / 6) from ch union all
+  select trial, k + 1, p, list_transform(range(1, 7), lambda j: list_inner_product(d, list_transform(p, lambda r: r[j]))) from st where k < 200),
+pt as (select trial, p, d, x, list_transform(range(1, 7), lambda i: (1 - x) * d[i] + x * (case when i = 1 then 0.7::double else 0.3::double / 5 end)) as mu from (select *, unnest([0.0, 0.18, 0.36, 0.54, 0.72, 0.9])::double as x from st where k = 200)),
+sc as (select trial || ':' || x as id, list_transform(range(1, 7), lambda i: list_transform(range(1, 7), lambda j: sqrt(mu[i] / mu[j]) * p[i][j])) as s from pt), {_power_sql("sc", 400)}
+select trial, round(x, 3) as t, round(0.9 * norm, 6) as modulus, round(abs(list_sum(list_transform(range(1, 7), lambda i: d[i] * d[i] / mu[i])) - 1), 6) as chi2 from pt join top on id = trial || ':' || x""")
+def markov_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How the modulus of random chains grows with the mismatch of weights and stationary distribution."""
+    return N.markov_experiment(spark).select("trial", "t", F.round("modulus", 6).alias("modulus"), F.round(F.abs("chi2"), 6).alias("chi2"))
 
 
 THETAS = [i / 10 for i in range(1, 21)]
@@ -160,6 +187,66 @@ def regret_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.select("kappa", both.alias("d")).select("kappa", "d.delta", F.round("d.t", 6).alias("tracking"))
 
 
+_STARTS, _CHECKS = N.game_draws()
+
+
+@query(f"""with recursive g as (select unnest({[x[0] for x in _STARTS]}::double[]) as mu, unnest({[x[1] for x in _STARTS]}::double[]) as gamma, unnest({[x[2] for x in _STARTS]}::double[]) as dx, unnest({[x[3] for x in _STARTS]}::double[]) as dy),
+z as (select *, (-0.7 * mu + -0.3 * gamma) / (mu * mu + gamma * gamma) as ex, (0.3 * mu - 0.7 * gamma) / (mu * mu + gamma * gamma) as ey from g),
+it(mu, gamma, dx, dy, ex, ey, k, x, y) as (select *, 0, ex + dx, ey + dy from z union all select mu, gamma, dx, dy, ex, ey, k + 1, x - 0.1 * (mu * x + gamma * y + 0.7), y - 0.1 * (mu * y - gamma * x - 0.3) from it where k < 2000),
+e as (select mu, gamma, k, sqrt(dx * dx + dy * dy) as d0, sqrt(pow(x - ex, 2) + pow(y - ey, 2)) as d, sqrt(pow(1 - 0.1 * mu, 2) + pow(0.1 * gamma, 2)) as rho from it where k in (200, 2000)),
+r as (select mu, gamma, any_value(rho) as rho, any_value(d0) as d0, max(case when k = 200 then d end) as d200, max(case when k = 2000 then d end) as dl from e group by all),
+ph as (select *, case when rho < 0.995 then 'converge' when rho > 1.005 then 'diverge' else 'boundary' end as phase from r)
+select mu, gamma, round(rho, 6) as rho, round(pow(d200 / d0, 1 / 200), 6) as empirical_rate, phase, case phase when 'converge' then dl < 0.01 * d0 when 'diverge' then dl > 10 * d0 else dl / d0 between pow(rho, 2000) / 2 and pow(rho, 2000) * 2 end as as_predicted from ph""")
+def game_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fifteen games from their published starts: the rate, and whether two thousand steps end as the radius predicts."""
+    g, ratio = N.game_experiment(spark), F.col("d_last") / F.col("d0")
+    near = ratio.between(F.pow("rho", F.lit(2000)) / 2, F.pow("rho", F.lit(2000)) * 2)
+    ends = F.when(F.col("phase") == "converge", ratio < 0.01).when(F.col("phase") == "diverge", ratio > 10).otherwise(near)
+    return g.select("mu", "gamma", F.round("rho", 6).alias("rho"), F.round("empirical_rate", 6).alias("empirical_rate"), "phase", ends.alias("as_predicted"))
+
+
+@query(f"""with c as (select unnest({[x[0] for x in _CHECKS]}::double[]) as mu, unnest({[x[1] for x in _CHECKS]}::double[]) as gamma, unnest({[x[2] for x in _CHECKS]}::double[]) as eta),
+r as (select *, sqrt(pow(1 - eta * mu, 2) + pow(eta * gamma, 2)) as rho from c)
+select round(mu, 9) as mu, round(gamma, 9) as gamma, round(eta, 9) as eta, rho < 1 as contracts, eta < 2 * mu / (mu * mu + gamma * gamma) as condition, abs(rho - sqrt(1 - 2 * eta * mu + eta * eta * (mu * mu + gamma * gamma))) < 1e-12 as same from r""")
+def game_identities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fifty random games: the radius is below 1 just where the step is short enough, and the modulus is the radius."""
+    return N.game_identities(spark).select(*[F.round(c, 9).alias(c) for c in ("mu", "gamma", "eta")], "contracts", "condition", (F.col("gap") < 1e-12).alias("same"))
+
+
+@query("select eta, round(sqrt(1 + eta * eta) - 1, 9) as excess from (select unnest([0.2, 0.1, 0.05, 0.025])::double as eta)")
+def game_scaling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The bilinear game's growth at four step sizes."""
+    return N.game_scaling(spark).select("eta", F.round("excess", 9).alias("excess"))
+
+
+@query("""with s as (select t, 0.5 / sqrt(t) as eta from (select unnest(range(1, 20001))::double as t)),
+w as (select t, sqrt(2) * exp(sum(0.5 * ln(1 + eta * eta)) over o) as r, pi() / 4 + sum(atan(eta)) over o as a from s window o as (order by t)),
+m as (select t, r, avg(r * cos(a)) over o as x, avg(r * sin(a)) over o as y from w window o as (order by t))
+select t::int as t, round(r, 6) as last, round(sqrt(x * x + y * y), 6) as averaged from m where t in (100, 20000)""")
+def game_averaged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last play wanders off while the averaged play approaches the equilibrium."""
+    return N.averaged_play(spark).select("t", F.round("last", 6).alias("last"), F.round("averaged", 6).alias("averaged"))
+
+
+@query("""with recursive p as (select unnest([1.0, 10.0, 100.0])::double as kappa),
+it(kappa, t, x, y, u, v, a, b, regret) as (select kappa, 0, 2.0::double, 2.0::double, 2.0::double, 2.0::double, 2.0::double, 2.0::double, 0.0::double from p union all
+  select kappa, t + 1, x - (x - 0.3) / kappa, y - (y + 0.4), u - least(1 / kappa, 1.0::double / (t + 1)) * (u - 0.3), v - least(1 / kappa, 1.0::double / (t + 1)) * kappa * (v + 0.4),
+    greatest(-1.0::double, least(1.0::double, a - least(1 / kappa, 1.0::double / (t + 1)) * (a - c))), greatest(-1.0::double, least(1.0::double, b - least(1 / kappa, 1.0::double / (t + 1)) * kappa * (b - c))),
+    regret + 0.5 * (pow(a - c, 2) + kappa * pow(b - c, 2)) - 0.125 * (1 + kappa) from (select *, case when t % 2 = 0 then 0.5::double else -0.5::double end as c from it where t < 4000)),
+d as (select kappa, t, sqrt(pow(x - 0.3, 2) + pow(y + 0.4, 2)) as far, sqrt(pow(u - 0.3, 2) + pow(v + 0.4, 2)) as robust, regret from it),
+w as (select kappa, coalesce(max(case when t between 5 and 400 and far > 1e-10 then t end), 5) as until from d group by kappa),
+e as (select kappa, until, max(case when t = 5 then far end) as f5, max(case when t = until then far end) as fu, max(case when t = 1000 then robust end) as q, max(case when t = 4000 then robust end) as h, max(case when t = 4000 then far end) as ie,
+  max(case when t = 500 then regret end) as r1, max(case when t = 1000 then regret end) as r2, max(case when t = 2000 then regret end) as r3, max(case when t = 4000 then regret end) as r4 from d join w using (kappa) group by all)
+select kappa, round(case when until > 5 and f5 > 0 then pow(fu / f5, 1.0::double / (until - 5)) else 0 end, 6) as geometric_rate, until as window_end, ie < 1e-10 as informed_exact, case when h > 1e-10 then round(ln(h / q) / ln(4), 6) end as poly_exponent, case when h > 1e-10 then round(h, 9) end as robust_error,
+  round(r1, 6) as regret_500, round(r2, 6) as regret_1000, round(r3, 6) as regret_2000, round(r4, 6) as regret_4000 from e""")
+def regret_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rates of the informed and the robust step offline, and the robust step's regret. At kappa 1 the robust step is exact, and
+    what is left of its error is rounding."""
+    robust, shown = F.col("robust_errors")[1], F.col("robust_errors")[1] > 1e-10
+    regrets = [F.round(F.col("regret")[i], 6).alias(f"regret_{t}") for i, t in enumerate((500, 1000, 2000, 4000))]
+    return N.regret_experiment(spark).select("kappa", F.round("geometric_rate", 6).alias("geometric_rate"), F.col("rate_window.last").alias("window_end"), (F.col("informed_error") < 1e-10).alias("informed_exact"), F.when(shown, F.round("poly_exponent", 6)).alias("poly_exponent"), F.when(shown, F.round(robust, 9)).alias("robust_error"), *regrets)
+
+
 # Roles of event types ------------------------------------------------------------------------------------------------
 
 
