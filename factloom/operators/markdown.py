@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+from itertools import accumulate, groupby
+from typing import NamedTuple
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -24,50 +26,64 @@ SHAPES = (
 FIELD = re.compile(r"\*{0,2}([A-Z][^:*]{0,60}?):\*{0,2}\s*(.*)$")
 
 
-def shape(line: str):
-    return next((name, m) for name, rx in SHAPES if (m := rx.match(line)))
+class Line(NamedTuple):
+    shape: str
+    match: re.Match
+    start: int
+    text: str
+
+    @property
+    def end(self) -> int:
+        return self.start + len(self.text)
+
+
+def lines_of(text: str) -> list[Line]:
+    lines = text.split("\n")
+    starts = accumulate((len(x) + 1 for x in lines), initial=0)
+    return [Line(*next((name, m) for name, rx in SHAPES if (m := rx.match(x))), at, x) for at, x in zip(starts, lines, strict=False)]
+
+
+def _fence_is_open(group: list[Line]) -> bool:
+    return len(group) == 1 or not group[-1].text.lstrip().startswith(group[0].match[1][0] * 3)
+
+
+#: Whether a line goes on with the block of the lines before it, by the shape of the block's first line.
+GOES_ON = {
+    "fence": lambda group, x: _fence_is_open(group),
+    "quote": lambda group, x: x.shape == "quote",
+    "item": lambda group, x: x.shape == "item" or (x.shape != "blank" and x.text.startswith("  ")),
+    "prose": lambda group, x: x.shape == "prose",
+}
+
+
+def _joined(group: list[Line], drop: str = "") -> str:
+    return "\n".join(re.sub(drop, "", x.text) if drop else x.text for x in group).strip()
+
+
+#: Kind and payload of a block by the shape of its first line.
+BUILT = {
+    "heading": lambda group: ("heading", (len(group[0].match[1]), group[0].match[2].strip())),
+    "rule": lambda group: ("rule", None),
+    "fence": lambda group: ("code", _joined(group)),
+    "quote": lambda group: ("blockquote", _joined(group, r"^\s*>\s?")),
+    "item": lambda group: ("list", [(x.start, x.end, x.match[2]) for x in group if x.shape == "item"]),
+    "prose": lambda group: ("paragraph", _joined(group)),
+}
 
 
 def blocks(text: str):
-    """(kind, start, end, payload) of each block in order; offsets are code points."""
-    lines, at, pos = text.split("\n"), [], 0
-    for line in lines:
-        at.append(pos)
-        pos += len(line) + 1
-    shapes = [shape(x) for x in lines]
-    end_of = lambda k: at[k] + len(lines[k])
-    i = 0
-    while i < len(lines):
-        name, m = shapes[i]
-        j = i + 1
-        if name == "heading":
-            yield "heading", at[i], end_of(i), (len(m[1]), m[2].strip())
-        elif name == "rule":
-            yield "rule", at[i], end_of(i), None
-        elif name == "fence":
-            mark = m[1][0] * 3
-            while j < len(lines) and not lines[j].lstrip().startswith(mark):
-                j += 1
-            last = min(j, len(lines) - 1)
-            j = last + 1
-            yield "code", at[i], end_of(last), "\n".join(lines[i:j]).strip()
-        elif name == "quote":
-            while j < len(lines) and shapes[j][0] != "fence" and lines[j].lstrip().startswith(">"):
-                j += 1
-            yield "blockquote", at[i], end_of(j - 1), "\n".join(re.sub(r"^\s*>\s?", "", x) for x in lines[i:j]).strip()
-        elif name == "item":
-            j = i
-            items = []
-            while j < len(lines) and ((own := SHAPES[5][1].match(lines[j])) or (shapes[j][0] != "blank" and lines[j].startswith("  "))):
-                if own:
-                    items.append((at[j], end_of(j), own[2]))
-                j += 1
-            yield "list", items[0][0], items[-1][1], items
-        elif name == "prose":
-            while j < len(lines) and shapes[j][0] == "prose":
-                j += 1
-            yield "paragraph", at[i], end_of(j - 1), "\n".join(lines[i:j]).strip()
-        i = j
+    """(kind, start, end, payload) of each block in order; offsets are code points. Each line is numbered with the block it
+    belongs to, and the lines of a number make the block."""
+    groups: list[list[Line]] = []
+    for line in lines_of(text):
+        if groups and GOES_ON.get(groups[-1][0].shape, lambda *_: False)(groups[-1], line):
+            groups[-1].append(line)
+        else:
+            groups.append([line])
+    for group in groups:
+        if group[0].shape in BUILT:
+            kind, load = BUILT[group[0].shape](group)
+            yield kind, group[0].start, load[-1][1] if kind == "list" else group[-1].end, load
 
 
 def extract(text: str, slug: str) -> dict:
@@ -94,14 +110,8 @@ def extract(text: str, slug: str) -> dict:
             out.add(parent, "paragraph", text=load, span=(start, end), attrs={"kind": "target_analog"} if riddles else None)
 
     if riddles:
-        parts, n = [[]], 0
-        for b in found:
-            if b[0] == "rule":
-                parts.append([])
-            else:
-                parts[-1].append(b)
-        for part in filter(None, parts):
-            n += 1
+        parts = [list(part) for is_rule, part in groupby(found, key=lambda b: b[0] == "rule") if not is_rule]
+        for n, part in enumerate(parts, 1):
             row = out.add(out.root, "example", title=f"riddle {n}", span=(part[0][1], part[-1][2]), attrs={"kind": "riddle"})
             for b in part:
                 put(row, b)
