@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -13,8 +14,10 @@ from pyspark.sql import functions as F
 
 #: Labelled rows that the lexicon and the classifier are fitted on, at most; those of smallest hash are taken.
 FIT_ROWS = 16_000
-#: Terms of the lexicon, at most: those of most evidence.
-TERMS = 1_000
+#: A term's log odds must be so high, after so many standard errors have been taken off.
+LIFT, ERRORS = 1.5, 2.5
+#: The share of a term's uses that are taken to be misspelled, and the weight of a misspelled copy of a toxic row.
+MISSPELLED, COPY = 0.1, 0.5
 #: Lengths of word beginnings that may become stems.
 STEMS = range(4, 9)
 #: Words on each side of a hit that count as its context.
@@ -143,14 +146,21 @@ class Automaton:
 
 
 class Matcher(dict):
-    """Token to its match, through the automaton for tokens that are new."""
+    """Token to its match, through the automaton for tokens that are new.
 
-    def __init__(self, terms: list[tuple[str, bool, float]]) -> None:
+    terms are (term, stem, weight, weight when misspelled). A misspelling that is one of the usual words, or of
+    a term that has no weight when misspelled, is no match."""
+
+    def __init__(self, terms: list[tuple[str, bool, float, float]], usual: frozenset = frozenset()) -> None:
         super().__init__()
-        self.automaton, self.weights = Automaton([(t, s) for t, s, _ in terms]), [w for _, _, w in terms]
+        self.automaton, self.weights = Automaton([(t, s) for t, s, _, _ in terms]), [(w, n) for _, _, w, n in terms]
+        self.usual = usual
 
     def __missing__(self, token: str):
-        found = self.automaton.match(token.strip(PUNCTUATION))
+        word = token.strip(PUNCTUATION)
+        found = self.automaton.match(word)
+        if found and found[1] and (word in self.usual or self.weights[found[0]][1] <= 0):
+            found = None
         if len(self) >= KEPT_TOKENS:
             self.clear()
         if len(token) <= 64:
@@ -158,25 +168,42 @@ class Matcher(dict):
         return found
 
     def features(self, text: str | None) -> list[float]:
-        """Evidence of exact hits, of misspelled ones, of quoted ones, of hits with another near, and hit density."""
+        """Evidence of exact hits, of misspelled ones, of quoted ones, of hits with another near, and hit density. A
+        quoted hit counts as nothing else."""
         words = (text or "").lower().split()
         found = list(map(self.__getitem__, words))
         hits = [i for i, f in enumerate(found) if f is not None]
         exact = near = quoted = crowd = 0.0
+        meant = 0
         for n, i in enumerate(hits):
             term, edits = found[i]
-            w = self.weights[term]
+            w = self.weights[term][edits > 0]
             before, after = words[max(0, i - WINDOW) : i], words[i + 1 : i + 1 + WINDOW]
             opened = any(x[0] in QUOTES for x in (*before, words[i])) and any(x[-1] in QUOTES for x in (words[i], *after))
             if opened or not REPORTING.isdisjoint(before[-3:]):
                 quoted += w
-            elif edits:
-                near += w / (1 + edits)
+                continue
+            meant += 1
+            if edits:
+                near += w
             else:
                 exact += w
             if (n and i - hits[n - 1] <= WINDOW) or (n + 1 < len(hits) and hits[n + 1] - i <= WINDOW):
                 crowd += w
-        return [math.log1p(exact), math.log1p(near), math.log1p(quoted), math.log1p(crowd), len(hits) / (len(words) + 1)]
+        return [math.log1p(exact), math.log1p(near), math.log1p(quoted), math.log1p(crowd), meant / (len(words) + 1)]
+
+    def corrupted(self, text: str) -> str:
+        """text with each term of three letters or more misspelled by one edit, which its checksum chooses."""
+        out = []
+        for token in text.split():
+            found, word = self[token.lower()], token.strip(PUNCTUATION)
+            if found is not None and not found[1] and len(word) > 2:
+                draw = zlib.crc32(word.lower().encode())
+                at, kind = 1 + draw // 4 % (len(word) - 2), draw % 4 if len(word) > 4 else 1
+                new = (word[:at] + word[at + 1 :], word[:at] + "013xyz"[draw // 64 % 6] + word[at + 1 :], word[:at] + word[at + 1] + word[at] + word[at + 2 :], word[:at] + word[at] + word[at:])[kind]
+                token = token.replace(word, new)
+            out.append(token)
+        return " ".join(out)
 
 
 def _count_terms(batches):
@@ -202,14 +229,18 @@ def _count_terms(batches):
     yield from out()
 
 
-def choose_terms(rows: list[tuple[str, bool, int, int]], n_toxic: int, n_clean: int, lift: float = 2.5) -> list[tuple[str, bool, float]]:
-    """Whole words and stems with a log odds of at least lift. A stem is taken only if it covers clearly more toxic
-    documents than any single word that begins so, and the longest of equally good stems. Words stay beside their stem,
-    which is short of their ends. The TERMS of most toxic documents times log odds are kept."""
-    def odds(toxic: int, clean: int) -> float:
-        return math.log((toxic + 0.5) / (n_toxic + 1)) - math.log((clean + 0.5) / (n_clean + 1))
+def log_odds(toxic: float, clean: float, n_toxic: int, n_clean: int) -> float:
+    return math.log((toxic + 0.5) / (n_toxic + 1)) - math.log((clean + 0.5) / (n_clean + 1))
+
 
-    good = {(t, s): (a, odds(a, c)) for t, s, a, c in rows if odds(a, c) >= lift}
+def choose_terms(rows: list[tuple[str, bool, int, int]], n_toxic: int, n_clean: int, lift: float = LIFT, errors: float = ERRORS) -> list[tuple[str, bool, float, int]]:
+    """(term, stem, log odds, toxic documents) of whole words and stems whose log odds are sure to be above lift. A stem is
+    taken only if it covers clearly more toxic documents than any single word that begins so, and the longest of
+    equally good stems. Words stay beside their stem, which is short of their ends."""
+    def sure(toxic: int, clean: int) -> bool:
+        return log_odds(toxic, clean, n_toxic, n_clean) - errors * math.sqrt(1 / (toxic + 0.5) + 1 / (clean + 0.5)) >= lift
+
+    good = {(t, s): (a, log_odds(a, c, n_toxic, n_clean)) for t, s, a, c in rows if sure(a, c)}
     best_word: dict[str, int] = {}
     for (t, s), (a, _) in good.items():
         if not s:
@@ -225,32 +256,56 @@ def choose_terms(rows: list[tuple[str, bool, int, int]], n_toxic: int, n_clean:
     for (t, s), (_, w) in good.items():
         if not s:
             kept[t, False] = w
-    strongest = sorted(kept.items(), key=lambda x: (-good[x[0]][0] * x[1], x[0]))[:TERMS]
-    return [(t, s, round(w, 6)) for (t, s), w in strongest]
+    return [(t, s, round(w, 6), good[t, s][0]) for (t, s), w in sorted(kept.items())]
+
+
+def misspelled_weights(terms: list[tuple[str, bool, float, int]], seen: list[dict[str, int]], n_toxic: int, n_clean: int) -> list[tuple[str, bool, float, float]]:
+    """terms with their weight when misspelled, from how often near words are in the clean rows of two folds (seen).
+    A near word that the other fold has too is a usual word and doesn't count; the misspelled uses of a term in
+    toxic documents are taken to be MISSPELLED of all. Terms whose near words are common get no weight."""
+    automaton, others = Automaton([(t, s) for t, s, _, _ in terms]), [0] * len(terms)
+    for one, other in (seen, seen[::-1]):
+        for word, n in one.items():
+            if word not in other:
+                others[automaton.match(word)[0]] += n
+    return [(t, s, w, round(max(0.0, log_odds(MISSPELLED * a, others[i], n_toxic, n_clean)), 6)) for i, (t, s, w, a) in enumerate(terms)]
 
 
-def fit_logistic(x: np.ndarray, y: np.ndarray, steps: int = 60, ridge: float = 1e-2) -> np.ndarray:
-    """Newton's method; the first weight is the bias."""
+def _newton(x: np.ndarray, y: np.ndarray, weight: np.ndarray, steps: int = 60, ridge: float = 1e-2) -> np.ndarray:
+    """Weights of a logistic model by Newton's method; the first is the bias."""
     x = np.hstack([np.ones((len(x), 1)), x])
     w = np.zeros(x.shape[1])
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        hess = x.T @ (x * (p * (1 - p))[:, None]) + ridge * np.eye(len(w))
-        step = np.linalg.solve(hess, x.T @ (y - p) - ridge * w)
+        hess = x.T @ (x * (weight * p * (1 - p))[:, None]) + ridge * np.eye(len(w))
+        step = np.linalg.solve(hess, x.T @ (weight * (y - p)) - ridge * w)
         w = w + np.clip(step, -2, 2)
         if np.abs(step).max() < 1e-8:
             break
     return w
 
 
+def fit_logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """A bias and the weights of the features. Neither misspelled nor quoted hits speak against toxicity, nor more for it
+    than exact ones: where the free fit says so, the columns are tied, or the one is left out, and it is fitted anew."""
+    w = _newton(x, y, weight)
+    if w[2] > w[1]:
+        w = np.insert(_newton(np.column_stack([x[:, 0] + x[:, 1], x[:, 2:]]), y, weight), 2, 0.0)
+        w[2] = w[1]
+    elif w[2] < 0:
+        w = np.insert(_newton(np.delete(x, 1, axis=1), y, weight), 2, 0.0)
+    w[3] = min(max(w[3], 0.0), max(w[1], 0.0))
+    return w
+
+
 class Model:
-    """Terms and weights; small, so that it goes to the tasks as it is."""
+    """Terms, usual words and weights; bounded by the rows fitted on, so that it goes to the tasks as it is."""
 
-    def __init__(self, terms: list[tuple[str, bool, float]], weights: list[float]) -> None:
-        self.terms, self.weights = terms, weights
+    def __init__(self, terms: list[tuple[str, bool, float, float]], weights: list[float], usual: frozenset = frozenset()) -> None:
+        self.terms, self.weights, self.usual = terms, weights, usual
 
     def scorer(self):
-        matcher, w = Matcher(self.terms), self.weights
+        matcher, w = Matcher(self.terms, self.usual), self.weights
 
         def score(text: str | None) -> float:
             z = w[0] + sum(a * b for a, b in zip(w[1:], matcher.features(text), strict=True))
@@ -262,14 +317,18 @@ class Model:
 def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
     """Learn the lexicon and the classifier from labels (doc_id, toxic) that are not held out.
 
-    At most fit_rows labelled rows are used; their ids are broadcast, which that number bounds. Contradicting
-    labels of an id count as toxic, null ones not at all. Without both classes every score is the same: the
-    smoothed rate of toxic rows.
+    At most fit_rows labelled ids are used; they are broadcast, which that number bounds, and of rows that repeat an
+    id the one of least text is learned from. Contradicting labels of an id count as toxic, null ones not at all.
+    Words near a term that clean rows use are usual words, no misspellings; rows are in two folds, and a row's
+    features take the usual words of the other fold, so that they are as with new rows. Toxic rows are learned from a
+    second time with their terms misspelled. Without both classes every score is the same: the smoothed rate of
+    toxic rows.
     """
     rows = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     rows = rows.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     chosen = rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows)
-    sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "toxic").persist()
+    sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
+    sample = sample.select("text", "toxic", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(2)).cast("int").alias("fold")).persist()
     n = {r["toxic"]: r["count"] for r in sample.groupBy("toxic").count().collect()}
     n_toxic, n_clean = n.get(1, 0), n.get(0, 0)
     if not n_toxic or not n_clean:
@@ -279,18 +338,42 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
     counts = sample.mapInPandas(_count_terms, "term string, stem boolean, toxic long, clean long").groupBy("term", "stem").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     least = max(3, round(0.002 * n_toxic))
     rate = F.expr(f"(toxic + 0.5) / {n_toxic + 1} / ((clean + 0.5) / {n_clean + 1})")
-    strong = counts.filter((F.col("toxic") >= least) & (rate >= math.exp(2.5))).orderBy(F.desc("toxic"), "term", "stem").limit(20 * TERMS).collect()
-    terms = choose_terms([(r["term"], r["stem"], r["toxic"], r["clean"]) for r in strong], n_toxic, n_clean)
+    strong = counts.filter((F.col("toxic") >= least) & (rate >= math.exp(LIFT))).collect()
+    chosen_terms = choose_terms([(r["term"], r["stem"], r["toxic"], r["clean"]) for r in strong], n_toxic, n_clean)
 
-    def features(batches):
-        matcher = Matcher(terms)
+    def near(batches):
+        automaton, seen, kept = Automaton([(t, s) for t, s, _, _ in chosen_terms]), (Counter(), Counter()), {}
         for pdf in batches:
-            yield pd.DataFrame([[*matcher.features(t), float(y)] for t, y in zip(pdf["text"], pdf["toxic"], strict=True)], columns=[f"x{i}" for i in range(5)] + ["y"])
+            for text, toxic, fold in zip(pdf["text"], pdf["toxic"], pdf["fold"], strict=True):
+                if not toxic:
+                    words = {w.strip(PUNCTUATION) for w in (text or "").lower().split()}
+                    for w in words - kept.keys():
+                        found = automaton.match(w)
+                        kept[w] = found is not None and found[1] > 0
+                    seen[fold].update(w for w in words if kept[w])
+        yield pd.DataFrame([(f, w, k) for f in (0, 1) for w, k in seen[f].items()], columns=["fold", "word", "n"])
+
+    seen: list[dict[str, int]] = [{}, {}]
+    for r in sample.mapInPandas(near, "fold int, word string, n long").groupBy("fold", "word").agg(F.sum("n").alias("n")).collect():
+        seen[r["fold"]][r["word"]] = r["n"]
+    terms, usual = misspelled_weights(chosen_terms, seen, n_toxic, n_clean), [frozenset(x) for x in seen]
 
-    got = sample.mapInPandas(features, ", ".join(f"x{i} double" for i in range(5)) + ", y double").toPandas().to_numpy()
+    def features(batches):
+        matchers = [Matcher(terms, usual[1]), Matcher(terms, usual[0])]
+        for pdf in batches:
+            found = []
+            for text, toxic, fold in zip(pdf["text"], pdf["toxic"], pdf["fold"], strict=True):
+                found.append([*matchers[fold].features(text), float(toxic), 1.0])
+                if toxic:
+                    copy = matchers[fold].features(matchers[fold].corrupted(text or ""))
+                    if copy[1] > 0:
+                        found.append([*copy, 1.0, COPY])
+            yield pd.DataFrame(found, columns=[f"x{i}" for i in range(5)] + ["y", "weight"])
+
+    got = sample.mapInPandas(features, ", ".join(f"x{i} double" for i in range(5)) + ", y double, weight double").toPandas().to_numpy()
     sample.unpersist()
     got = got[np.lexsort(got.T)]  # the same order of sums in each run
-    return Model(terms, [round(float(w), 6) for w in fit_logistic(got[:, :5], got[:, 5])])
+    return Model(terms, [round(float(w), 6) for w in fit_logistic(got[:, :5], got[:, 5], got[:, 6])], usual[0] | usual[1])
 
 
 def score_documents(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> DataFrame:
