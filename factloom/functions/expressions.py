@@ -29,9 +29,14 @@ def functor(e: Column) -> Column:
     return F.when(is_entity(e), None).otherwise(F.regexp_extract(e, '^\\["([^"]*)"', 1))
 
 
+#: A predicate without predicates in it, and one whose arguments have none.
+FLAT = "\\[[^\\[\\]]*\\]"
+SHALLOW = f"^\\[[^\\[\\]]*(?:{FLAT}[^\\[\\]]*)*\\]$"
+
+
 def arg_list(e: Column) -> Column:
-    """Arguments as expressions, in order; none for an entity. A comma is at the top level of the list where as many
-    brackets have closed as opened."""
+    """Arguments as expressions, in order; none for an entity. Where no argument holds predicates in predicates they are read
+    off by a pattern; else a comma is at the top level of the list where as many brackets have closed as opened."""
     inner = F.regexp_replace(e, '^\\["[^"]*",?|\\]$', "")
     pieces = F.split(inner, ",")
 
@@ -45,7 +50,8 @@ def arg_list(e: Column) -> Column:
 
     start = F.expr("struct(0 as depth, '' as part, cast(array() as array<string>) as out)")
     none = F.expr("cast(array() as array<string>)")
-    return F.when(is_entity(e) | (inner == ""), none).otherwise(F.aggregate(pieces, start, step, lambda a: a["out"]))
+    shallow = F.regexp_extract_all(inner, F.lit(f'"[^"]*"|{FLAT}'), F.lit(0))
+    return F.when(is_entity(e) | (inner == ""), none).when(e.rlike(SHALLOW), shallow).otherwise(F.aggregate(pieces, start, step, lambda a: a["out"]))
 
 
 def order(e: Column) -> Column:
@@ -56,7 +62,8 @@ def order(e: Column) -> Column:
         d = acc["d"] + F.when(c == "[", 1).when(c == "]", -1).otherwise(0)
         return F.struct(d.alias("d"), F.greatest(acc["m"], d).alias("m"))
 
-    return F.aggregate(brackets, F.struct(F.lit(0).alias("d"), F.lit(0).alias("m")), step, lambda a: a["m"])
+    deep = F.aggregate(brackets, F.struct(F.lit(0).alias("d"), F.lit(0).alias("m")), step, lambda a: a["m"])
+    return F.when(is_entity(e), 0).when(e.rlike(f"^{FLAT}$"), 1).when(e.rlike(SHALLOW), 2).otherwise(deep)
 
 
 def leaves(e: Column) -> Column:
@@ -89,7 +96,8 @@ def match_key(e: Column, ascension: Column | None = None) -> Column:
 
 
 def subexprs(e: Column) -> Column:
-    """Predicates in pre-order, itself first, repeats kept: each opening bracket up to the one that closes it."""
+    """Predicates in pre-order, itself first, repeats kept: each opening bracket up to the one that closes it. Where no
+    argument holds predicates in predicates, those below are all flat."""
     def closing(rest: Column) -> Column:
         def step(acc: Column, c: Column) -> Column:
             d = acc["d"] + F.when(c == "[", 1).when(c == "]", -1).otherwise(0)
@@ -98,7 +106,9 @@ def subexprs(e: Column) -> Column:
         return F.aggregate(F.split(rest, ""), F.struct(F.lit(0).alias("d"), F.lit(0).alias("n"), F.lit(False).alias("over")), step, lambda a: a["n"])
 
     opens = F.filter(F.sequence(F.lit(1), F.length(e)), lambda i: F.substr(e, i, F.lit(1)) == "[")
-    return F.transform(opens, lambda i: F.substr(e, i, closing(F.substr(e, i, F.length(e)))))
+    below = F.regexp_extract_all(F.substr(e, F.lit(2), F.length(e)), F.lit(FLAT), F.lit(0))
+    shallow = F.when(e.rlike(f"^{FLAT}$"), F.array(e)).otherwise(F.concat(F.array(e), below))
+    return F.when(e.rlike(SHALLOW), shallow).otherwise(F.transform(opens, lambda i: F.substr(e, i, closing(F.substr(e, i, F.length(e))))))
 
 
 def fmt_expr(e: Column) -> Column:

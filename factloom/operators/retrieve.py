@@ -108,12 +108,12 @@ def decompose(target: DataFrame, library: DataFrame, positions: DataFrame) -> di
     }
 
 
-def lineage(facts: DataFrame, tau: float = 0.5) -> tuple[DataFrame, DataFrame]:
-    """(ancestors, edges). An ancestor has strictly fewer facts, of which at least tau recur in the child. The parent
+def lineage(facts: DataFrame, tau: float = 0.5, pairs: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(ancestors, edges) among all results, or only for pairs (base, target). An ancestor has strictly fewer facts, of which at least tau recur in the child. The parent
     is the one with most facts, then highest reuse, then first name; a residual fact is one that the parent's matches,
     capped by how often the parent states a fact, leave over."""
     sizes = facts.groupBy("name").agg(F.count("*").alias("n_facts"))
-    maps = A.align(facts, facts)
+    maps = A.align(facts, facts, pairs=pairs)
     cov = A.pair_coverage(maps, facts, "base").join(sizes.select(F.col("name").alias("target"), F.col("n_facts").alias("n_target")), "target")
     ancestors = cov.filter((F.col("n") < F.col("n_target")) & (F.col("cov") >= tau)).withColumn("rank", F.row_number().over(Window.partitionBy("target").orderBy(F.desc("n"), F.desc("cov"), "base")))
     parent = ancestors.filter("rank = 1").select("base", "target", "cov", "n_target")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from factloom.operators import align as A
 from factloom.operators import discover as D
 from factloom.operators import graph as G
+from factloom.operators import graphquery as GQ
 from factloom.operators import lift as L
 from factloom.plans.common import best, table
 
@@ -58,13 +59,13 @@ folded as (select base, target, list_reduce(list({'s': 1.0::double + ord, 'c': c
 @query(f"with {FACTS_SQL} select base, target, round(g.s, 3) as score, len(g.c)::int as n_mapped, len(g.m)::int as n_matched from folded")
 def order_align(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Structural alignment of every order with the one before it."""
-    f = order_facts(spark, sf_dir)
+    f = order_facts(spark, sf_dir).checkpoint()
     return A.align(f, f, pairs=order_pairs(spark, sf_dir)).select("base", "target", "score", F.size("corrs").alias("n_mapped"), F.size("matched").alias("n_matched"))
 
 
 def _maps(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    f = order_facts(spark, sf_dir)
-    return f, A.align(f, f, pairs=order_pairs(spark, sf_dir))
+    f = order_facts(spark, sf_dir).checkpoint()
+    return f, A.align(f, f, pairs=order_pairs(spark, sf_dir)).checkpoint()
 
 
 INFER_SQL = FACTS_SQL + """,
@@ -93,6 +94,18 @@ def order_confirm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.confirmed(A.inferences(maps, f), f).groupBy("base", "target", "status").agg(F.count("*").alias("n"))
 
 
+@query(f"""with {INFER_SQL}, conf as (select g.base, g.target, g.bpos, bool_or(coalesce(t.name is not null and len(list_filter(range(1, len(g.image) + 1), lambda i: not (starts_with(g.image[i], 'skolem:') or g.image[i] = t.leaves[i]))) = 0, false)) as hit
+  from good g left join facts t on t.name = g.target and t.skel = g.skel group by all),
+tx as (select g.*, hit, 2.0 * anchored + overlap - n_skolems as confidence, case when ord = 1 then skel || '(' || image[1] || ', ' || image[2] || ')' else 'CAUSE(' || string_split(skel, ' ')[2] || '(' || image[1] || ', ' || image[2] || '), ' || string_split(skel, ' ')[3] || '(' || image[3] || ', ' || image[4] || '))' end as projection from good g join conf using (base, target, bpos))
+select base, target, (row_number() over (partition by base, target order by confidence desc, projection, bpos) - 1)::int as i, projection, round(confidence, 3)::double as confidence, case when hit then 'confirmed' else 'novel' end as status from tx""")
+def order_transfer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conjectures about each order from the one before it, best first."""
+    from factloom.functions.expressions import fmt_expr
+
+    f = order_facts(spark, sf_dir).checkpoint()
+    return A.transfer(f, f, pairs=order_pairs(spark, sf_dir)).select("base", "target", "i", fmt_expr(F.col("projection")).alias("projection"), "confidence", "status")
+
+
 @query(f"""with {FACTS_SQL}, t as (select f.name, len(f.leaves) as d from facts f) , n as (select name, count(*) as n from facts group by name),
 hitb as (select distinct base, target, x.tpos as tpos from (select base, target, unnest(g.m) as x from folded)),
 known as (select distinct h.base, h.target, f.skel, f.leaves from hitb h join facts f on f.name = h.target and f.pos = h.tpos),
@@ -218,13 +231,8 @@ def star_reify(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("select 'SHIP(o' || l_orderkey || ', p' || l_partkey || ', s' || l_suppkey || ')' as text, count(*) as n from lineitem group by all")
 def star_rebuild(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Expressions rebuilt from the edges of the graph."""
-    nodes, edges = _graph(spark, sf_dir)
-    args = edges.filter(F.col("relation").startswith("arg:")).select("src", "dst", F.regexp_extract("relation", "[0-9]+", 0).try_cast("int").alias("i"))
-    labels = nodes.select(F.col("id").alias("dst"), "label")
-    parts = args.join(labels, "dst").groupBy("src").agg(F.array_sort(F.collect_list(F.struct("i", "label"))).alias("a"))
-    heads = nodes.filter("kind = 'fact'").select(F.col("id").alias("src"), F.col("label").alias("f"))
-    text = F.concat("f", F.lit("("), F.array_join(F.transform("a", lambda x: x["label"]), ", "), F.lit(")"))
-    return heads.join(parts, "src").groupBy(text.alias("text")).agg(F.count("*").alias("n"))
+    texts = GQ.expr_strings(*_graph(spark, sf_dir))
+    return texts.filter(F.col("id").contains("::fact::")).groupBy("text").agg(F.count("*").alias("n"))
 
 
 @query("""select o_custkey as custkey, l_returnflag as functor, count(*) as n from lineitem join orders on o_orderkey = l_orderkey group by all""")
@@ -262,10 +270,44 @@ def star_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.stats(nodes.withColumn("kind", F.col("type")), edges.withColumn("relation", F.col("predicate")))
 
 
-@query(f"with {TREE_SQL} select id, title from tree where contains(lower(title), 'ne')")
+@query(f"with {TREE_SQL} select id, title from tree where contains(lower(title), 'ica') or contains(lower(title), '#000000000')")
 def star_find(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Nodes whose title holds a needle, whatever the case."""
-    return _concepts(spark, sf_dir)[0].filter(F.contains(F.lower("title"), F.lit("ne"))).select("id", "title")
+    """Nodes whose title holds either of two needles, whatever the case."""
+    nodes = _concepts(spark, sf_dir)[0].withColumn("label", F.col("title"))
+    return GQ.find(nodes, "ICA").unionByName(GQ.find(nodes, "#000000000")).select("id", "title")
+
+
+@query(f"""with recursive {TREE_SQL}, c as (select id, row_number() over (order by length(id), id) as a, row_number() over (order by length(id) desc, id desc) as z from tree where type = 'paragraph'),
+f as (select string_split(id, '/') as p from c where a = 1), x as (select p, string_split((select id from c, f where string_split(id, '/')[2] = p[2] order by length(id) desc, id desc limit 1), '/') as q from f), d as (select p, q, len(list_filter(range(1, least(len(p), len(q)) + 1), lambda i: p[1:i] = q[1:i])) as k from x),
+up as (select unnest(range(len(p), k, -1)) as i, p, k, len(p) as n from d), down as (select unnest(range(k + 1, len(q) + 1)) as i, q, k, (select len(p) from x) as n from d)
+select (n - i + 1)::int as step, array_to_string(p[1:i], '/') as src, 'in' as direction, array_to_string(p[1:i - 1], '/') as dst from up union all select (n - k + i - k)::int, array_to_string(q[1:i - 1], '/'), 'out', array_to_string(q[1:i], '/') from down""")
+def star_route(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The shortest path between the first and the last customer of a region over containment, step by step."""
+    nodes, edges = _concepts(spark, sf_dir)
+    own = edges.filter(F.col("parent").startswith("root/")).select(F.col("parent").alias("src"), F.col("id").alias("dst"), F.lit("contains").alias("relation"), F.xxhash64("id").alias("seq"))
+    customers = nodes.filter("type = 'paragraph'")
+    first = customers.orderBy(F.length("id"), "id").first()["id"]
+    last = customers.filter(F.col("id").startswith("/".join(first.split("/")[:2]) + "/")).orderBy(F.desc(F.length("id")), F.desc("id")).first()["id"]
+    steps = GQ.shortest_path(nodes, own.checkpoint(), first, last) or []
+    return spark.createDataFrame([(i, a, d, b) for i, (a, _, b, d) in enumerate(steps, 1)], "step int, src string, direction string, dst string")
+
+
+@query(f"""with {TREE_SQL}, c as (select id, row_number() over (order by length(id), id) as a from tree where type = 'paragraph'), x as (select string_split(id, '/') as p from c where a = 1)
+select (len(p) - i)::int as depth, array_to_string(p[1:i], '/') as ancestor from (select p, unnest(range(2, len(p) + 1)) as i from x)""")
+def star_ancestors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A customer and what contains it, upwards, as a chain of extends edges."""
+    nodes, edges = _concepts(spark, sf_dir)
+    own = edges.filter(F.col("parent").startswith("root/")).select(F.concat(F.lit("result::"), F.col("id")).alias("src"), F.concat(F.lit("result::"), F.col("parent")).alias("dst"), F.lit("extends").alias("relation"))
+    first = nodes.filter("type = 'paragraph'").orderBy(F.length("id"), "id").first()["id"]
+    return spark.createDataFrame(list(enumerate(GQ.ancestors(own, first))), "depth int, ancestor string")
+
+
+@query(f"""with recursive {TREE_SQL}, e as (select regexp_replace(id, '/[^/]+$', '') as p, id from tree), b(id) as (select min(id) from tree where type = 'section' union select e.id from b join e on e.p = b.id) select id from b""")
+def star_subgraph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All that can be reached from the first region over numbered argument edges."""
+    nodes, edges = _concepts(spark, sf_dir)
+    own = edges.filter(F.col("parent").startswith("root/")).select(F.col("parent").alias("src"), F.col("id").alias("dst"), F.concat(F.lit("arg:"), F.regexp_extract("id", "([0-9]+)$", 1)).alias("relation"))
+    return GQ.reasoning_subgraph(own, nodes.filter("type = 'section'").agg(F.min("id")).first()[0])
 
 
 @query("select c_mktsegment as segment, o_orderkey as orderkey, o_totalprice as price, rank from (select c_mktsegment, o_orderkey, o_totalprice, row_number() over (partition by c_mktsegment order by o_totalprice desc, o_orderkey)::int as rank from orders join customer on c_custkey = o_custkey) where rank <= 5")
