@@ -40,9 +40,11 @@ class _Kept(dict):
 class Codec:
     """Encoder and decoder of one model.
 
-    encode_stream reads characters one by one. For each end it keeps one backpointer: where the last piece
-    starts and which it is. Only starts within the longest piece of the end can still be used, so these
-    are the surviving paths; whenever all of them pass through one boundary, the ids before it are committed.
+    encode_stream is the one encoder. It reads characters one by one. For each end it keeps one backpointer: where
+    the last piece starts and which it is. Only the starts of unfinished pieces, all within the longest piece, and
+    the end itself can still be used, so these are the surviving paths; whenever all of them pass through one
+    boundary, the ids before it are committed. The results of segments, between which no piece can lie, so that
+    paths always converge there, are kept and used again.
 
     In a unigram model the backpointer is that of the best sum of scores. In a BPE model it is the one piece
     that ends the BPE merge of the prefix: pieces follow each other in a merge result if and only if merging
@@ -69,18 +71,20 @@ class Codec:
         self.longest = max(map(len, self.ids), default=1)
         self.floor = min((self.scores[i] for i in self.ids.values()), default=0.0) - 10.0
         many = [p for p in self.ids if len(p) > 1]
-        self.trie: dict[str, int] = {}  # 2: a piece, 1: more pieces start so
+        self.trie: list = [{}, None]  # a node: its children, and the piece that ends there
         for p in self.ids:
-            self.trie[p] = self.trie.get(p, 0) | 2
-            for n in range(1, len(p)):
-                self.trie[p[:n]] = self.trie.get(p[:n], 0) | 1
+            node = self.trie
+            for c in p:
+                node = node[0].setdefault(c, [{}, None])
+            node[1] = p
+        self.commits = self.window = 0  # commits so far, and the most characters that waited for one
         self.fits: dict[str, dict[str, bool]] = {}
         self.whole: dict[str, bool] = {}
         self.seen, self.words, self.bare = _Kept(self._segment), _Kept(self._word), _Kept(self._bare)
         joined = {c for p in many for c in p} - {SPACE}
         inner = any(SPACE in p.lstrip(SPACE) for p in many)
         of = "".join(map(re.escape, sorted(joined))) or "\\0"
-        # between these segments no piece can lie, so paths always converge there
+        # between these segments no piece can lie
         self.segments = re.compile(f"(?s)[{of}{SPACE}]+|." if inner else f"(?s){SPACE}*[{of}]+|{SPACE}+|.").findall
         # words can be encoded apart, each with the space before it, and so can lines
         self.apart, self.newline = self.prefix and not inner and "\n" not in joined, self._ids_of("\n")
@@ -120,80 +124,70 @@ class Codec:
 
     def encode_stream(self, chars):
         """Pieces of an iterable of characters (spaces already replaced), yielded as soon as they are certain."""
-        buffer, starts, last, score = [], [0], [None], [0.0]  # from the committed boundary; at each end: start, piece, score
-        longest, ids, scores, unigram = self.longest, self.ids, self.scores, self.kind == UNIGRAM
-        ended = False
-        chars = iter(chars)
-        while not ended:
-            c = next(chars, None)
-            ended = c is None
-            if not ended:
-                buffer.append(c)
-                i = len(buffer)
-                text = "".join(buffer[max(0, i - longest) :])
-                best = None
-                for n in range(len(text), 0, -1):
-                    piece = text[-n:]
-                    known = ids.get(piece)
-                    if known is None and n > 1:
-                        continue
-                    at = i - n
-                    if unigram:
-                        s = score[at] + (self.floor if known is None else scores[known])
-                        if best is None or s > best[2]:
-                            best = (at, piece, s)
-                    elif self.follows(last[at], piece):
-                        best = (at, piece, 0.0)
-                        break
-                starts.append(best[0])
-                last.append(best[1])
-                score.append(best[2])
-                if i < 4 * longest or i % longest:
+        starts, last, score = [0], [None], [0.0]  # from the committed boundary; at each end: start, piece, score
+        root, longest, unigram, whole, fits = self.trie[0], self.longest, self.kind == UNIGRAM, self.whole, self.fits
+        open_: list[tuple[int, dict]] = []  # starts of unfinished pieces, with the children of their nodes
+        end = 0
+        for c in chars:
+            open_.append((end, root))
+            end += 1
+            going, best = [], None
+            for at, children in open_:  # the longest piece first
+                node = children.get(c)
+                if node is None:
+                    continue
+                if node[0]:
+                    going.append((at, node[0]))
+                piece = node[1]
+                if piece is None:
                     continue
-            alive = {len(buffer)} if ended else set(range(max(0, len(buffer) - longest + 1), len(buffer) + 1))
-            while len(alive) > 1:  # follow the path that reaches furthest until all have met
-                top = max(alive)
-                alive.remove(top)
-                alive.add(starts[top])
-            boundary = alive.pop()
-            path, at = [], boundary
-            while at:
-                path.append(last[at])
-                at = starts[at]
-            yield from reversed(path)
-            before = last[boundary]
-            buffer = buffer[boundary:]
-            starts = [0, *(x - boundary for x in starts[boundary + 1 :])]
-            last = [before, *last[boundary + 1 :]]
-            score = [0.0, *(x - score[boundary] for x in score[boundary + 1 :])]
-
-    def _merged_pieces(self, text: str) -> list[str]:
-        """encode_stream of a BPE model for a segment short enough to commit at its end alone."""
-        n = len(text)
-        start, last, reach = [0] * (n + 1), [None] * (n + 1), [[] for _ in range(n + 1)]
-        trie, fits, longest = self.trie, self.fits, self.longest
-        for at in range(n):
-            reach[at + 1].append((at, text[at]))
-            if trie.get(text[at], 0) & 1:
-                for end in range(at + 2, min(n, at + longest) + 1):
-                    piece = text[at:end]
-                    kind = trie.get(piece, 0)
-                    if kind & 2:
-                        reach[end].append((at, piece))
-                    if not kind & 1:
-                        break
-            for s, piece in reach[at + 1]:  # the longest first; one fits
-                before = last[s]
-                known = self.whole if before is None else fits.get(before)
-                ok = known.get(piece) if known is not None else None
-                if self.follows(before, piece) if ok is None else ok:
-                    start[at + 1], last[at + 1] = s, piece
-                    break
-        out = []
-        while n:
-            out.append(last[n])
-            n = start[n]
-        return out[::-1]
+                if unigram:
+                    s = score[at] + self.scores[self.ids[piece]]
+                    if best is None or s > best[2]:
+                        best = (at, piece, s)
+                elif best is None:  # one fits
+                    before = last[at]
+                    known = whole if before is None else fits.get(before)
+                    ok = None if known is None else known.get(piece)
+                    if self.follows(before, piece) if ok is None else ok:
+                        best = (at, piece, 0.0)
+            if best is None or (unigram and c not in self.ids and score[end - 1] + self.floor > best[2]):
+                best = (end - 1, c, score[end - 1] + self.floor)
+            starts.append(best[0])
+            last.append(best[1])
+            score.append(best[2])
+            open_ = going
+            if going and end % longest:
+                continue
+            boundary = self._converged({end, *(at for at, _ in going)}, starts)
+            if boundary:
+                yield from self._committed(boundary, starts, last)
+                open_ = [(at - boundary, children) for at, children in going]
+                end -= boundary
+                starts = [0, *(x - boundary for x in starts[boundary + 1 :])]
+                last = last[boundary:]
+                score = [0.0, *(x - score[boundary] for x in score[boundary + 1 :])]
+        if end:
+            yield from self._committed(end, starts, last)
+
+    @staticmethod
+    def _converged(alive: set[int], starts: list[int]) -> int:
+        """The boundary where the paths to all of the ends have met, followed back from the furthest."""
+        while len(alive) > 1:
+            top = max(alive)
+            alive.remove(top)
+            alive.add(starts[top])
+        return alive.pop()
+
+    def _committed(self, boundary: int, starts: list[int], last: list) -> list[str]:
+        """Pieces of the path to boundary."""
+        self.commits += 1
+        self.window = max(self.window, len(starts) - 1)
+        path = []
+        while boundary:
+            path.append(last[boundary])
+            boundary = starts[boundary]
+        return path[::-1]
 
     def _ids_of(self, piece: str) -> list[int]:
         known = self.ids.get(piece)
@@ -205,8 +199,7 @@ class Codec:
         parts = self.finer(segment) if self.finer else [segment]
         if len(parts) > 1:
             return tuple(chain.from_iterable(map(self.seen.__getitem__, parts)))
-        pieces = self._merged_pieces(segment) if self.kind == BPE and len(segment) <= KEPT_LENGTH else self.encode_stream(segment)
-        return tuple(chain.from_iterable(map(self._ids_of, pieces)))
+        return tuple(chain.from_iterable(map(self._ids_of, self.encode_stream(segment))))
 
     def _bare(self, text: str) -> tuple[int, ...]:
         """Ids of text that follows a boundary, without a space before it."""
