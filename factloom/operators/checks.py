@@ -8,11 +8,13 @@ import re
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from factloom.functions.text import ROLES
 
+#: Predicates of concept relations.
+PREDICATES = ("contains", "cites", "refers_to", "proves", "derives_from")
 CHECK = "scope string, name string, passed boolean, metrics map<string,double>, detail string"
 
 
@@ -119,15 +121,42 @@ def reasoning_acyclic(relations: DataFrame, rounds: int = 500) -> DataFrame:
     return _none_left(relations, left, "reasoning_dag_acyclic", F.col("subject"))
 
 
-def run_all(nodes: DataFrame, edges: DataFrame, lengths: DataFrame, min_ratio: float = 0.5) -> DataFrame:
+def concept_schema_valid(concepts: DataFrame, relations: DataFrame) -> DataFrame:
+    """Concepts have an id, a known kind and role and a source, relations an id, both ends and a known predicate."""
+    types = [t for v in ROLES.values() for t in v]
+    known = F.col("id").isNotNull() & F.col("kind").isin(types) & F.col("role").isin(list(ROLES)) & F.col("source_node").isNotNull()
+    said = F.col("id").isNotNull() & F.col("subject").isNotNull() & F.col("object").isNotNull() & F.col("predicate").isin(list(PREDICATES))
+    bad = concepts.filter(~F.coalesce(known, F.lit(False))).select("slug", "id").unionByName(relations.filter(~F.coalesce(said, F.lit(False))).select("slug", "id"))
+    return _none_left(concepts, bad, "concept_schema_valid", F.col("id"))
+
+
+def run_all(nodes: DataFrame, edges: DataFrame, lengths: DataFrame, min_ratio: float = 0.5, texts: DataFrame | None = None, normalize: Callable[[Column], Column] | None = None) -> DataFrame:
+    """All checks of documents; with their texts (slug, text) and normalization also that a second pass changes nothing."""
     out = schema_valid(nodes)
     for x in (unique_ids(nodes), acyclic_tree(nodes), character_coverage(nodes, lengths, min_ratio), reference_integrity(nodes, edges)):
         out = out.unionByName(x)
-    return out
+    return out.unionByName(idempotent(texts, normalize)) if texts is not None and normalize is not None else out
 
 
 def run_concept_checks(concepts: DataFrame, relations: DataFrame, edges: DataFrame) -> DataFrame:
-    return edge_conservation(relations, edges).unionByName(traceability(concepts, relations)).unionByName(reasoning_acyclic(relations))
+    out = concept_schema_valid(concepts, relations)
+    for x in (edge_conservation(relations, edges), traceability(concepts, relations), reasoning_acyclic(relations)):
+        out = out.unionByName(x)
+    return out
+
+
+def principles(spark: SparkSession, adapter: str) -> DataFrame:
+    """principle, question, conserved, target, verifier: what is to be conserved by a decomposition, and which check sees to
+    it. The last row is that of the adapter's kind of document."""
+    rows = [
+        ("P1", "what must be conserved?", "characters of the normalized text", "each belongs to one leaf, none to two", "character_coverage"),
+        ("P2", "what is redundant?", "content up to presentation", "what goes is logged, a second pass changes nothing", "idempotent"),
+        ("P3", "which classes recur?", "the inventory of types and roles", "few plain blocks are left", "schema_valid"),
+        ("P4", "what is the hierarchy?", "containment and references", "one tree without cycles, no dangling reference", "acyclic_tree, unique_ids, reference_integrity"),
+    ]
+    papers = ("P5", "papers and exams", "statements apart from answers, entries of the bibliography", "subtrees of their own, one node for each entry", "compare_sections")
+    prose = ("P5", "prose and forms", "fields of forms, source and target of analogies", "one metadata field for each key, both analogs in an example", "run_metrics")
+    return spark.createDataFrame([*rows, papers if adapter in ("latex", "html") else prose], "principle string, question string, conserved string, target string, verifier string")
 
 
 _HEADING = re.compile(r"(?is)<h[1-6]\b[^>]*>(.*?)</h[1-6]\s*>")

@@ -64,7 +64,10 @@ def retrieve(target: DataFrame, library: DataFrame, positions: DataFrame, mac_k:
     """
     ids = target.select(F.col("name").alias("target")).distinct()
     shown = cosines(functor_vectors(target), functor_vectors(library)).select(F.col("a").alias("target"), F.col("b").alias("base"), "cosine")
-    short = ids.join(positions.select(F.col("id").alias("base"), "pos"), F.lit(True)).join(shown, ["target", "base"], "left").withColumn("cosine", F.coalesce("cosine", F.lit(0.0)))
+    place = positions.select(F.col("id").alias("base"), "pos")
+    # priors that share nothing come in only where fewer than mac_k share something: the first 2 mac_k by position suffice
+    few = ids.crossJoin(F.broadcast(place.orderBy("pos").limit(2 * mac_k))).join(shown, ["target", "base"], "left_anti")
+    short = shown.join(place, "base").select("target", "base", "pos", "cosine").unionByName(few.select("target", "base", "pos", F.lit(0.0).alias("cosine")))
     short = short.withColumn("at", F.row_number().over(Window.partitionBy("target").orderBy(F.desc("cosine"), "pos"))).filter(F.col("at") <= mac_k)
     maps = A.align(library, target, pairs=short.select("base", "target"))
     known = A.matched_facts(maps, target, "target").groupBy("base", "target").agg(F.collect_set("expr").alias("known"))
@@ -108,6 +111,11 @@ def decompose(target: DataFrame, library: DataFrame, positions: DataFrame) -> di
     }
 
 
+def paper_run(target: DataFrame, library: DataFrame, positions: DataFrame) -> tuple[DataFrame, dict]:
+    """One result against the whole library: all priors ranked, and its set cover."""
+    return retrieve(target, library, positions, max(1, positions.count())), decompose(target, library, positions)
+
+
 def lineage(facts: DataFrame, tau: float = 0.5, pairs: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(ancestors, edges) among all results, or only for pairs (base, target). An ancestor has strictly fewer facts, of which at least tau recur in the child. The parent
     is the one with most facts, then highest reuse, then first name; a residual fact is one that the parent's matches,

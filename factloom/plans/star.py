@@ -317,35 +317,6 @@ def star_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best(o, ["c_mktsegment"], F.desc("o_totalprice"), "o_orderkey", k=5).select(F.col("c_mktsegment").alias("segment"), F.col("o_orderkey").alias("orderkey"), F.col("o_totalprice").alias("price"), "rank")
 
 
-@query(f"with {TREE_SQL} select 'attr:' || type as feature, count(*) as before, count(*) as after from tree group by type")
-def star_rename_invariance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Content vectors before and after nodes are given canonical names, side by side."""
-    nodes, _ = _concepts(spark, sf_dir)
-    concept = nodes.select(F.regexp_extract("id", "^(root/[^/]+)", 1).alias("slug"), "id", F.col("type").alias("kind"))
-    renamed = concept.join(L.canonical_names(concept), ["slug", "id"]).withColumn("id", F.col("new"))
-    a = concept.groupBy(F.concat(F.lit("attr:"), F.col("kind")).alias("feature")).agg(F.count("*").alias("before"))
-    b = renamed.groupBy(F.concat(F.lit("attr:"), F.col("kind")).alias("feature")).agg(F.count("*").alias("after"))
-    return a.join(b, "feature", "full")
-
-
-@query("""select o.o_orderkey as orderkey, 3::int as depth, (3 * (1 + 3))::int as score from orders o join customer on c_custkey = o_custkey join nation on n_nationkey = c_nationkey join region on r_regionkey = n_regionkey""")
-def star_systematicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Longest chain of reasoning from each order, over customer, nation and region, and edges times one more than it."""
-    text = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string"))
-    o = table(spark, sf_dir, "orders").select(text("o", "o_orderkey").alias("subject"), text("c", "o_custkey").alias("object"))
-    c = table(spark, sf_dir, "customer").select(text("c", "c_custkey").alias("subject"), text("n", "c_nationkey").alias("object"))
-    n = table(spark, sf_dir, "nation").select(text("n", "n_nationkey").alias("subject"), text("r", "n_regionkey").alias("object"))
-    edges = o.unionByName(c).unionByName(n).checkpoint()
-    depth, level = None, edges.join(edges.select(F.col("subject").alias("object")), "object", "left_anti").select(F.col("subject").alias("id"), F.lit(1).alias("d"))
-    while True:
-        depth = level if depth is None else depth.unionByName(level)
-        level = edges.join(level.select(F.col("id").alias("object"), "d"), "object").groupBy(F.col("subject").alias("id")).agg((F.max("d") + 1).alias("d")).checkpoint()
-        if not level.limit(1).count():
-            break
-    longest = depth.groupBy("id").agg(F.max("d").alias("depth")).filter("id like 'o%'")
-    return longest.select(F.substring("id", 2, 30).cast("long").alias("orderkey"), "depth", (F.col("depth") * (1 + F.col("depth"))).alias("score"))
-
-
 @query("""select '<op:region.' || r_regionkey || '> <op:kind> "section" .' as line from region union all select '<op:region.' || r_regionkey || '> <op:role> "segment" .' from region
 union all select '<op:nation.' || n_nationkey || '> <op:kind> "definition" .' from nation union all select '<op:nation.' || n_nationkey || '> <op:role> "assert" .' from nation union all select '<op:region.' || n_regionkey || '> <op:contains> <op:nation.' || n_nationkey || '> .' from nation""")
 def star_ntriples(spark: SparkSession, sf_dir: str) -> DataFrame:

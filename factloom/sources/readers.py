@@ -64,7 +64,7 @@ def corpora(spark: SparkSession, registry: list[tuple[str, str]]) -> tuple[DataF
     results = facts = None
     for pos, (domain, path) in enumerate(registry):
         r, f = corpus(spark, path, domain, pos)
-        shift = F.col("result_pos") + pos * 100_000
+        shift = F.col("result_pos") + F.lit(pos << 32)  # a corpus may have as many results as an int counts
         r, f = r.withColumn("result_pos", shift), f.withColumn("result_pos", shift)
         results, facts = (r, f) if results is None else (results.unionByName(r), facts.unionByName(f))
     return results, facts

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import html
 import json
 
 from pyspark.sql import Column, DataFrame
@@ -60,3 +61,27 @@ def field_report(scores: DataFrame) -> DataFrame:
 def markdown_table(df: DataFrame, limit: int = 100) -> str:
     rows = [df.columns, ["---"] * len(df.columns), *[[str(x) for x in r] for r in df.limit(limit).collect()]]
     return "\n".join("| " + " | ".join(r) + " |" for r in rows)
+
+
+def dashboard_model(got: dict[str, DataFrame], results: DataFrame, evaluations: DataFrame | None = None, shown: int = 200) -> dict:
+    """What a page shows of pipeline.run: results by domain and size with novelty and parent, each unordered analogy once,
+    counts of nodes and edges, verdicts. Results of a library are few; `shown` bounds each list."""
+    parents = got["edges"].filter("relation = 'extends'").select(F.regexp_replace("src", "^result::", "").alias("result"), F.regexp_replace("dst", "^result::", "").alias("parent"))
+    facts = got["edges"].filter("relation = 'asserts'").groupBy(F.regexp_replace("src", "^result::", "").alias("result")).agg(F.count("*").alias("n_facts"))
+    rows = got["novelty"].join(results.select(F.col("name").alias("result"), "domain", F.substring("text", 1, 240).alias("text")), "result").join(parents, "result", "left").join(facts, "result", "left")
+    rows = rows.select("result", "domain", "n_facts", "novelty", "nearest_prior", "parent", "text").orderBy("domain", "n_facts", "result").limit(shown)
+    listed = lambda df: [r.asDict(recursive=True) for r in df.limit(shown).collect()]
+    counts = {f"{k}:{r['name']}": r["n"] for k, col in (("nodes", "kind"), ("edges", "relation")) for r in got[k].groupBy(F.col(col).alias("name")).agg(F.count("*").alias("n")).collect()}
+    return {"results": listed(rows), "analogies": listed(analogy_report(got["analogies"], shown)), "counts": dict(sorted(counts.items())), "evaluations": listed(evaluations) if evaluations is not None else []}
+
+
+def dashboard_page(model: dict, title: str = "Results and analogies") -> str:
+    """The model as one HTML page of tables."""
+    def cells(tag: str, values) -> str:
+        return "<tr>" + "".join(f"<{tag}>{html.escape('' if v is None else str(v))}</{tag}>" for v in values) + "</tr>"
+
+    def rows(items: list[dict]) -> str:
+        return "<table>" + cells("th", items[0]) + "".join(cells("td", x.values()) for x in items) + "</table>" if items else "<p>none</p>"
+
+    parts = [f"<h2>{name}</h2>" + rows(model[name]) for name in ("results", "analogies", "evaluations")]
+    return f"<!DOCTYPE html><html><head><meta charset='utf-8'><title>{html.escape(title)}</title></head><body><h1>{html.escape(title)}</h1>" + rows([{"what": k, "n": v} for k, v in model["counts"].items()]) + "".join(parts) + "</body></html>"
