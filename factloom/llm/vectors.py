@@ -13,6 +13,8 @@ from factloom.llm.common import components, cut, forest
 
 #: Projections, and rows of a tile at most.
 PROJECTIONS, TILE = 24, 1024
+#: Projections that are counted for all pairs of a tile.
+FIRST_LINES = 8
 #: Half-width of a window in standard deviations of the difference of two vectors at the threshold.
 WIDTH = 3.0
 #: The chance that a pair at the threshold is missed, by which the collision count is calibrated.
@@ -58,47 +60,63 @@ def _prepare(cell: float):
     def run(batches):
         for pdf in batches:
             rows = []
-            for i, label, v in zip(pdf["id"], pdf["label"], pdf["v"], strict=True):
+            for v in pdf["v"]:
                 x = _unit(v)
                 a, b = (np.floor(x @ _directions(len(x), PROJECTIONS)[:, :2] / cell).astype(int) if x is not None else (0, 0))
-                rows.append((i, label, 0 if x is None else len(x), int(a), int(b), None if x is None else x.tobytes()))
-            yield pd.DataFrame(rows, columns=["id", "label", "dim", "a", "b", "unit"])
+                rows.append((0 if x is None else len(x), int(a), int(b), None if x is None else x.tobytes()))
+            yield pd.concat([pdf.drop(columns="v"), pd.DataFrame(rows, columns=["dim", "a", "b", "unit"], index=pdf.index)], axis=1)
 
     return run
 
 
+def _collisions(rows: np.ndarray, cols: np.ndarray, width: float, count: int, upper: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (row, column) of projected vectors that fall into each other's windows on count of the sorted lines at least.
+    The first lines leave few pairs that can still get there, and the others are counted for these alone. With
+    upper, rows and columns are the same vectors, and only pairs with the row first are taken."""
+    lines = rows.shape[1]
+    hits, place = np.zeros((len(rows), len(cols)), dtype=np.int8), np.empty(len(cols), dtype=np.int32)
+    i = j = seen = np.empty(0, dtype=np.int64)
+    for k in range(lines):
+        order = np.argsort(cols[:, k], kind="stable")
+        place[order] = np.arange(len(cols), dtype=np.int32)
+        line = cols[order, k]
+        lo, hi = (np.searchsorted(line, rows[:, k] + d, side).astype(np.int32) for d, side in ((-width, "left"), (width, "right")))
+        if k < FIRST_LINES:
+            hits += (place >= lo[:, None]) & (place < hi[:, None])
+        else:
+            seen = seen + ((place[j] >= lo[i]) & (place[j] < hi[i]))
+        if k == FIRST_LINES - 1:
+            possible = hits >= count - (lines - FIRST_LINES)
+            i, j = np.nonzero(np.triu(possible, 1) if upper else possible)
+            seen = hits[i, j].astype(np.int64)
+        elif k >= FIRST_LINES:
+            keep = seen >= count - (lines - 1 - k)
+            i, j, seen = i[keep], j[keep], seen[keep]
+    return i, j
+
+
 def _collide(threshold: float, width: float, count: int):
     """Links within a tile or between two: rows of a tile pair give their links' weights and a spanning forest."""
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         dim = int(pdf["dim"].iloc[0])
-        pdf = pdf.sort_values(["side", "id"], kind="stable")
+        pdf = pdf.sort_values(["side", "id", "k1", "k2"], kind="stable")
         x = np.frombuffer(b"".join(pdf["unit"]), dtype=np.float64).reshape(len(pdf), dim)
         side, ids, mult = pdf["side"].to_numpy(), pdf["id"].to_numpy(), pdf["mult"].to_numpy()
         alone = not (side == 1).any()
         rows, cols = (np.arange(len(pdf)),) * 2 if alone else (np.flatnonzero(side == 0), np.flatnonzero(side == 1))
         if not len(rows) or not len(cols):
-            return pd.DataFrame({"id": [], "weight": [], "other": []})
+            return pd.DataFrame({"k1": [], "k2": [], "weight": [], "id": [], "other": []})
         proj = x @ _directions(dim, PROJECTIONS)
-        hits = np.zeros((len(rows), len(cols)), dtype=np.int8)
-        place = np.empty(len(cols), dtype=np.int32)
-        for k in range(PROJECTIONS):
-            order = np.argsort(proj[cols, k], kind="stable")
-            place[order] = np.arange(len(cols), dtype=np.int32)
-            line, q = proj[cols[order], k], proj[rows, k]
-            lo = np.searchsorted(line, q - width, "left").astype(np.int32)
-            hi = np.searchsorted(line, q + width, "right").astype(np.int32)
-            hits += (place >= lo[:, None]) & (place < hi[:, None])
-        i, j = np.nonzero(hits >= count)
+        i, j = _collisions(proj[rows], proj[cols], width, count, alone)
         i, j = rows[i], cols[j]
-        if alone:
-            i, j = i[i < j], j[i < j]
         near = np.concatenate([np.einsum("ij,ij->i", x[i[s : s + 65536]], x[j[s : s + 65536]]) for s in range(0, len(i), 65536)] or [np.empty(0)]) >= threshold
         i, j = i[near], j[near]
         weight = np.bincount(i, mult[j], len(pdf)) + np.bincount(j, mult[i], len(pdf))
         linked = np.flatnonzero(weight)
         node, root = forest(ids[i], ids[j]) if len(i) else (np.empty(0, np.int64), np.empty(0, np.int64))
         other = dict(zip(node.tolist(), root.tolist(), strict=True))
-        return pd.DataFrame({"id": ids[linked], "weight": weight[linked].astype(np.int64), "other": [other.get(n, n) for n in ids[linked].tolist()]})
+        found = pdf.iloc[linked]
+        return pd.DataFrame({"k1": found["k1"], "k2": found["k2"], "weight": weight[linked].astype(np.int64), "id": found["id"], "other": [other.get(n, n) for n in ids[linked].tolist()]})
 
     return run
 
@@ -115,7 +133,9 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.98, id_col: str = "vec
 
     Null or empty vectors, vectors of zeros or with null or non-finite components, and null labels link with
     nothing: n_links 0, their own component. Rows with a null id count as links of others only through equal
-    vectors and have a null component. Vectors of different lengths never link. Extra columns are ignored.
+    vectors and have a null component. Rows that repeat an id keep their own n_links, that of their vector; for
+    components they are one node, which has the links of all their vectors. Vectors of different lengths never
+    link. Extra columns are ignored. An empty table gives no rows.
     """
     sigma = math.sqrt(max(0.0, 2 - 2 * threshold))
     width = WIDTH * sigma + 1e-9
@@ -129,8 +149,7 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.98, id_col: str = "vec
     reps = usable.groupBy("k1", "k2").agg(F.min("id").alias("id"), F.count("*").alias("mult"), F.first("label").alias("label"), F.first("v").alias("v"))
     members = cut(rows.select("id", F.when(F.col("label").isNotNull() & F.col("v").isNotNull(), F.col("k1")).alias("k1"), "k2"))
     reps = cut(reps)
-    units = reps.select("id", "label", "v").mapInPandas(_prepare(cell), "id long, label string, dim int, a long, b long, unit binary")
-    units = cut(units.join(reps.select("id", "mult", "k1", "k2"), "id").filter("unit is not null"))
+    units = cut(reps.mapInPandas(_prepare(cell), "k1 long, k2 long, id long, mult long, label string, dim int, a long, b long, unit binary").filter("unit is not null"))
     cells = units.groupBy("label", "dim", "a", "b").agg(F.count("*").alias("n")).withColumn("tiles", F.ceil(F.col("n") / TILE))
     cells = cut(cells.drop("n"))
     tiles = cells.withColumn("t", F.explode(F.sequence(F.lit(1), F.col("tiles")))).drop("tiles")
@@ -141,12 +160,16 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.98, id_col: str = "vec
     pairs = left.join(right, ["label", "dim", "a1", "b1"]).filter("a <> a1 or b <> b1 or t0 <= t1").withColumn("pair", F.xxhash64("label", "dim", "a", "b", "t0", "a1", "b1", "t1"))
     sides = pairs.select("pair", "label", "dim", "a", "b", F.col("t0").alias("t"), F.lit(0).alias("side")).unionByName(
         pairs.filter("a <> a1 or b <> b1 or t0 <> t1").select("pair", "label", "dim", F.col("a1").alias("a"), F.col("b1").alias("b"), F.col("t1").alias("t"), F.lit(1).alias("side")))
-    placed = units.join(cells, ["label", "dim", "a", "b"]).withColumn("t", F.pmod(F.xxhash64("id"), F.col("tiles")) + 1)
-    dealt = placed.join(sides, ["label", "dim", "a", "b", "t"]).select("pair", "side", "id", "mult", "dim", "unit")
-    found = cut(dealt.groupBy("pair").applyInPandas(_collide(threshold, width, count), "id long, weight long, other long"))
-    weights = found.groupBy("id").agg(F.sum("weight").alias("weight"))
-    links = components(found.select(F.col("id").alias("a"), F.col("other").alias("b"))).withColumnRenamed("id", "rep")
-    of_rep = units.select("k1", "k2", F.col("id").alias("rep"), "mult").join(weights.withColumnRenamed("id", "rep"), "rep", "left").join(links, "rep", "left")
+    placed = units.join(cells, ["label", "dim", "a", "b"]).withColumn("t", F.pmod(F.xxhash64("k1"), F.col("tiles")) + 1)
+    dealt = placed.join(sides, ["label", "dim", "a", "b", "t"]).select("pair", "side", "k1", "k2", "id", "mult", "dim", "unit")
+    found = cut(dealt.groupBy("pair").applyInPandas(_collide(threshold, width, count), "k1 long, k2 long, weight long, id long, other long"))
+    weights = found.groupBy("k1", "k2").agg(F.sum("weight").alias("weight"))
+    # an id that has several vectors is linked with the representatives of them all
+    valid = members.filter("k1 is not null and id is not null").join(units.select("k1", "k2", F.col("id").alias("rep")), ["k1", "k2"])
+    several = valid.groupBy("id").agg(F.min("k1").alias("low"), F.max("k1").alias("high")).filter("low <> high").select("id")
+    own = valid.join(several, "id").select(F.col("id").alias("a"), F.col("rep").alias("b")).distinct()
+    links = components(found.select(F.col("id").alias("a"), F.col("other").alias("b")).unionByName(own)).withColumnRenamed("id", "rep")
+    of_rep = units.select("k1", "k2", F.col("id").alias("rep"), "mult").join(weights, ["k1", "k2"], "left").join(links, "rep", "left")
     of_rep = of_rep.select("k1", "k2", (F.col("mult") - 1 + F.coalesce("weight", F.lit(0))).alias("links"), F.coalesce("component", "rep").alias("c"))
     out = members.join(of_rep, ["k1", "k2"], "left").select(F.col("id").alias("vec_id"), F.when(F.col("id").isNull(), 0).otherwise(F.coalesce("links", F.lit(0))).cast("long").alias("n_links"), F.when(F.col("id").isNotNull(), F.coalesce("c", "id")).alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
