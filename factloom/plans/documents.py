@@ -137,10 +137,10 @@ def doc_residual(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _cover_sql() -> str:
     rounds = [f"with {SHINGLE_SQL}, c0 as (select distinct doc_id, item_id, s from dc join bc using (s))"]
-    for i in range(1, 5):
+    for i in range(1, 9):
         rounds.append(f"p{i} as (select doc_id, item_id, n from (select doc_id, item_id, count(*) as n, row_number() over (partition by doc_id order by count(*) desc, item_id) as k from c{i - 1} group by doc_id, item_id) where k = 1)")
         rounds.append(f"c{i} as (select c.* from c{i - 1} c where not exists (select 1 from p{i} p join c{i - 1} t on t.doc_id = p.doc_id and t.item_id = p.item_id where p.doc_id = c.doc_id and t.s = c.s))")
-    picks = " union all ".join(f"select doc_id, {i} as round, item_id, n::bigint as n_covered from p{i}" for i in range(1, 5))
+    picks = " union all ".join(f"select doc_id, {i} as round, item_id, n::bigint as n_covered from p{i}" for i in range(1, 9))
     return ",\n".join(rounds) + f"\n{picks}"
 
 
@@ -171,12 +171,18 @@ select child, parent, round(cov, 4) as parent_reuse from r where k = 1""")
 def doc_lineage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For each document the largest document with strictly fewer shingles of which at least half recur in it.
 
-    A parent must share one of its rarest shingles, all but half of them less one, so only these are joined with all
-    shingles to find pairs; pairs are then counted in full.
+    Documents with equal sets are of one size, so none is another's parent, and they have the same parents: the one of
+    smallest id stands for them all. A parent must share one of its rarest shingles, all but half of them less one,
+    so only these are joined with all shingles to find pairs; pairs are then counted in full.
     """
     s = _shingle_rows(table(spark, sf_dir, "documents"), "doc_id", distinct=True).select("doc_id", F.xxhash64("s").alias("s"), F.crc32(F.col("s").cast("binary")).alias("c"))
     s = s.checkpoint()
-    n = s.groupBy("doc_id").agg(F.count("*").alias("n"))
+    wide = "decimal(38,0)"
+    sets = s.groupBy("doc_id").agg(F.count("*").alias("n"), F.bit_xor("s").alias("x"), F.sum(F.col("s").cast(wide)).alias("y"), F.sum("c").alias("z"))
+    same = ["n", "x", "y", "z"]
+    members = sets.join(sets.groupBy(*same).agg(F.min("doc_id").alias("rep")), same).select("doc_id", "rep", "n").checkpoint()
+    s = s.join(members.filter("doc_id = rep").select("doc_id"), "doc_id", "left_semi").checkpoint()
+    n = members.filter("doc_id = rep").select("doc_id", "n")
     df = s.groupBy("s", "c").agg(F.count("*").alias("df"))
     order = Window.partitionBy("doc_id").orderBy("df", "s", "c")
     ranked = s.join(df, ["s", "c"]).filter("df > 1").withColumn("at", F.row_number().over(order))
@@ -186,7 +192,8 @@ def doc_lineage(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = rare.join(s.join(n, "doc_id").select(F.col("doc_id").alias("child"), "s", "c", F.col("n").alias("cn")), ["s", "c"]).filter("parent <> child and pn < cn").select("parent", "child", "pn").distinct()
     hit = pairs.join(s.select(F.col("doc_id").alias("parent"), "s", "c"), "parent").join(s.select(F.col("doc_id").alias("child"), "s", "c"), ["child", "s", "c"]).groupBy("parent", "child", "pn").agg(F.count("*").alias("hit"))
     good = hit.filter("2 * hit >= pn").withColumn("cov", F.col("hit") / F.col("pn"))
-    return best(good, ["child"], F.desc("pn"), F.desc("cov"), "parent").select("child", "parent", F.round("cov", 4).alias("parent_reuse"))
+    parents = best(good, ["child"], F.desc("pn"), F.desc("cov"), "parent").select(F.col("child").alias("rep"), "parent", F.round("cov", 4).alias("parent_reuse"))
+    return members.join(parents, "rep").select(F.col("doc_id").alias("child"), "parent", "parent_reuse")
 
 
 @query("""select 'sha256:' || sha256(coalesce(text, ''))[1:16] as content_hash, count(*) as n, min(doc_id) as first_doc from documents group by 1 having count(*) > 1""")
