@@ -299,13 +299,40 @@ def _signed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _vectors(spark, sf_dir).withColumn("sig", sig)
 
 
+#: Queries and vectors that a task scores against each other at most on average.
+QUERY_BLOCK, VECTOR_BLOCK = 1024, 4096
+
+
+def _blocked(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
+    """query_id, vec_id, cosine of the k best for each of queries (query_id, q) among vectors (vec_id, e): blocks of queries meet
+    blocks of vectors as two matrices, and a block passes on its k best only."""
+    at_most = lambda df, size: max(1, -(-df.count() // size))
+    nq, nv = at_most(queries, QUERY_BLOCK), at_most(vectors, VECTOR_BLOCK)
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = queries.select(F.pmod(F.xxhash64("query_id"), F.lit(nq)).cast("int").alias("a"), every(nv).alias("b"), F.lit(True).alias("asks"), F.col("query_id").alias("id"), F.col("q").alias("e"))
+    right = vectors.select(every(nq).alias("a"), F.pmod(F.xxhash64("vec_id"), F.lit(nv)).cast("int").alias("b"), F.lit(False).alias("asks"), F.col("vec_id").alias("id"), "e")
+
+    def best_of(pdf: pd.DataFrame) -> pd.DataFrame:
+        asks = pdf["asks"].to_numpy()
+        ids, x = pdf["id"].to_numpy(), np.stack(pdf["e"].to_numpy()).astype(float)
+        x = x / np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]
+        found = []
+        order = np.argsort(ids[~asks], kind="stable")  # ties go to the smaller id
+        own, data = ids[~asks][order], x[~asks][order]
+        for i, row in zip(ids[asks].tolist(), np.round(x[asks] @ data.T, 9) if len(own) else [], strict=False):
+            row[own == i] = -np.inf
+            top = np.argsort(-row, kind="stable")[:k]
+            found += [(i, int(own[j]), float(row[j])) for j in top if row[j] > -np.inf]
+        return pd.DataFrame(found, columns=["query_id", "vec_id", "cosine"])
+
+    dealt = left.unionByName(right)
+    return dealt.groupBy("a", "b").applyInPandas(best_of, "query_id long, vec_id long, cosine double")
+
+
 def _exact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The query set against all vectors: queries are held as blocks of vectors by which each row is scored."""
+    """The three best and a few more of each query among all vectors."""
     v = _vectors(spark, sf_dir)
-    q = v.filter(F.col("vec_id") % EVERY == 0).select(F.col("vec_id").alias("query_id"), F.col("e").alias("q"))
-    d = v.withColumn("s", F.pmod("vec_id", F.lit(64)))
-    blocks = q.withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(63))))  # each block of vectors meets every query
-    return blocks.join(d, "s").filter("query_id <> vec_id").select("query_id", "vec_id", _cosine("q", "e").alias("cosine"))
+    return _blocked(v.filter(F.col("vec_id") % EVERY == 0).select(F.col("vec_id").alias("query_id"), F.col("e").alias("q")), v, 3)
 
 
 @query(f"""with {EMB_SQL}, s as (select q.vec_id as query_id, d.vec_id, {COS_SQL} as cosine from v q join v d on q.vec_id <> d.vec_id where q.vec_id % {EVERY} = 0)
@@ -321,16 +348,16 @@ def emb_signature(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _signed(spark, sf_dir).select("vec_id", "sig")
 
 
-def _near(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Candidates within Hamming distance 2, by an equi-join on flipped signatures; a query without any meets all."""
+def _near(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Candidates within Hamming distance 2, by an equi-join on flipped signatures; the best of all vectors for the queries
+    without any; and those queries."""
     g = _signed(spark, sf_dir).checkpoint()
     masks = sorted({0} | {1 << i for i in range(PLANES)} | {1 << i | 1 << j for i in range(PLANES) for j in range(i)})
     q = g.filter(F.col("vec_id") % EVERY == 0).select(F.col("vec_id").alias("query_id"), F.col("e").alias("q"), F.col("sig").alias("s"))
     flipped = q.withColumn("m", F.explode(F.array(*[F.lit(m).cast("long") for m in masks]))).withColumn("sig", F.expr("s ^ m"))
     near = flipped.join(g, "sig").filter("query_id <> vec_id").select("query_id", "vec_id", "q", "e").checkpoint()
-    lone = q.join(near.select("query_id").distinct(), "query_id", "left_anti").select("query_id", "q").withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(63))))
-    rest = lone.join(g.withColumn("b", F.pmod("vec_id", F.lit(64))), "b").filter("query_id <> vec_id").select("query_id", "vec_id", "q", "e")
-    return near.unionByName(rest).select("query_id", "vec_id", _cosine("q", "e").alias("cosine"))
+    lone = q.join(near.select("query_id").distinct(), "query_id", "left_anti").select("query_id", "q")
+    return near.select("query_id", "vec_id", _cosine("q", "e").alias("cosine")), _blocked(lone, g.select("vec_id", "e"), 3), lone.select("query_id")
 
 
 LSH_SQL = f"""with {EMB_SQL}, n as (select q.vec_id as query_id, d.vec_id, {COS_SQL} as cosine from g q join g d on q.vec_id <> d.vec_id where q.vec_id % {EVERY} = 0 and bit_count(xor(q.sig, d.sig)) <= 2),
@@ -341,14 +368,15 @@ s as (select * from n union all select * from f), r as (select *, row_number() o
 @query(LSH_SQL + " select query_id, vec_id, round(cosine, 6) as cosine, rank from r where rank <= 3")
 def emb_lsh_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The three best of each query's candidates from the sign-hash index."""
-    return best(_near(spark, sf_dir), ["query_id"], F.desc("cosine"), "vec_id", k=3).select("query_id", "vec_id", F.round("cosine", 6).alias("cosine"), "rank")
+    near, rest, _ = _near(spark, sf_dir)
+    return best(near.unionByName(rest), ["query_id"], F.desc("cosine"), "vec_id", k=3).select("query_id", "vec_id", F.round("cosine", 6).alias("cosine"), "rank")
 
 
-def _recall(near: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:
-    near = near.checkpoint()
-    got = best(near, ["query_id"], F.desc("cosine"), "vec_id", k=3).select("query_id", "vec_id", F.lit(1).alias("hit"))
+def _recall(near: DataFrame, rest: DataFrame, lone: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:
+    near, every = near.checkpoint(), _vectors(spark, sf_dir).count() - 1
+    got = best(near.unionByName(rest), ["query_id"], F.desc("cosine"), "vec_id", k=3).select("query_id", "vec_id", F.lit(1).alias("hit"))
     exact = best(_exact(spark, sf_dir), ["query_id"], F.desc("cosine"), "vec_id", k=3).select("query_id", "vec_id")
-    seen = near.groupBy("query_id").agg(F.count("*").alias("n_examined"))
+    seen = near.groupBy("query_id").agg(F.count("*").alias("n_examined")).unionByName(lone.select("query_id", F.lit(every).cast("long").alias("n_examined")))
     return exact.join(got, ["query_id", "vec_id"], "left").groupBy("query_id").agg(F.count("hit").alias("n_found")).join(seen, "query_id")
 
 
@@ -356,7 +384,7 @@ def _recall(near: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:
 select e.query_id, count(r.vec_id) as n_found, (select count(*) from s where s.query_id = e.query_id) as n_examined from (select * from e where rank <= 3) e left join (select * from r where rank <= 3) r on r.query_id = e.query_id and r.vec_id = e.vec_id group by e.query_id""")
 def emb_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many of the exact three best the index finds, and how many vectors it examines."""
-    return _recall(_near(spark, sf_dir), spark, sf_dir)
+    return _recall(*_near(spark, sf_dir), spark, sf_dir)
 
 
 # The same search by many tables of short signatures, as one table of long ones finds few of the true neighbours ---------
@@ -381,18 +409,17 @@ def _short_signed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _vectors(spark, sf_dir).mapInPandas(run, "vec_id long, t int, sig long")
 
 
-def _near_by_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Candidates within Hamming distance 1 in any table; a query with fewer than LEAST meets all."""
+def _near_by_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Candidates within Hamming distance 1 in any table; the best of all vectors for queries with fewer than LEAST; and those."""
     v, g = _vectors(spark, sf_dir), _short_signed(spark, sf_dir).checkpoint()
     q = g.filter(F.col("vec_id") % EVERY == 0).select(F.col("vec_id").alias("query_id"), "t", F.col("sig").alias("s"))
     flipped = q.withColumn("m", F.explode(F.array(*[F.lit(m).cast("long") for m in SHORT_MASKS]))).withColumn("sig", F.expr("s ^ m"))
     near = flipped.join(g, ["t", "sig"]).filter("query_id <> vec_id").select("query_id", "vec_id").distinct().checkpoint()
     some = near.groupBy("query_id").agg(F.count("*").alias("n")).filter(F.col("n") >= LEAST).select("query_id")
     held = v.select(F.col("vec_id").alias("query_id"), F.col("e").alias("q"))
-    lone = held.filter(F.col("query_id") % EVERY == 0).join(some, "query_id", "left_anti").withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(63))))
-    rest = lone.join(v.withColumn("b", F.pmod("vec_id", F.lit(64))), "b").filter("query_id <> vec_id").select("query_id", "vec_id", "q", "e")
-    found = near.join(some, "query_id").join(held, "query_id").join(v, "vec_id").select("query_id", "vec_id", "q", "e")
-    return found.unionByName(rest).select("query_id", "vec_id", _cosine("q", "e").alias("cosine"))
+    lone = held.filter(F.col("query_id") % EVERY == 0).join(some, "query_id", "left_anti")
+    found = near.join(some, "query_id").join(held, "query_id").join(v, "vec_id").select("query_id", "vec_id", _cosine("q", "e").alias("cosine"))
+    return found, _blocked(lone, v, 3), lone.select("query_id")
 
 
 TABLES_SQL = f"""with v as (select vec_id, list_transform(embedding, lambda x: x::double) as e from embeddings where len(embedding) = {DIM}),
@@ -408,11 +435,12 @@ r as (select *, row_number() over (partition by query_id order by cosine desc, v
 @query(TABLES_SQL + " select query_id, vec_id, round(cosine, 6) as cosine, rank from r where rank <= 3")
 def emb_tables_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The three best of each query's candidates from the tables of short signatures."""
-    return best(_near_by_tables(spark, sf_dir), ["query_id"], F.desc("cosine"), "vec_id", k=3).select("query_id", "vec_id", F.round("cosine", 6).alias("cosine"), "rank")
+    near, rest, _ = _near_by_tables(spark, sf_dir)
+    return best(near.unionByName(rest), ["query_id"], F.desc("cosine"), "vec_id", k=3).select("query_id", "vec_id", F.round("cosine", 6).alias("cosine"), "rank")
 
 
 @query(TABLES_SQL + f""", e as (select q.vec_id as query_id, d.vec_id, row_number() over (partition by q.vec_id order by {COS_SQL} desc, d.vec_id) as rank from v q join v d on q.vec_id <> d.vec_id where q.vec_id % {EVERY} = 0)
 select e.query_id, count(r.vec_id) as n_found, (select count(*) from s where s.query_id = e.query_id) as n_examined from (select * from e where rank <= 3) e left join (select * from r where rank <= 3) r on r.query_id = e.query_id and r.vec_id = e.vec_id group by e.query_id""")
 def emb_tables_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many of the exact three best the tables find, and how many vectors they examine."""
-    return _recall(_near_by_tables(spark, sf_dir), spark, sf_dir)
+    return _recall(*_near_by_tables(spark, sf_dir), spark, sf_dir)
