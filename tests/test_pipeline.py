@@ -91,3 +91,18 @@ def test_gates_of_experiments_and_commands(spark, tmp_path, capsys):
 def test_principles(spark):
     rows = checks.principles(spark, "latex").collect()
     assert [r["principle"] for r in rows] == ["P1", "P2", "P3", "P4", "P5"] and rows[4] != checks.principles(spark, "markdown").collect()[4]
+
+
+def test_run_and_views(spark, tmp_path):
+    from factloom.functions.text import normalize_markdown
+    from factloom.operators import markdown, runs
+
+    texts = spark.createDataFrame([("a", "# One\r\n\r\nwords <!-- gone -->\n\n- x\n- **Key:** y\n"), ("b", None)], "slug string, text string")
+    done = markdown.decompose(texts).checkpoint()
+    steps = {(r["slug"], r["id"]): r for r in runs.trajectory(texts, done, "markdown", normalize_markdown).collect()}
+    assert len(steps) == 12 and {r["status"] for r in steps.values()} == {"ok"}
+    assert steps["a", "20"]["metrics"]["removed_chars"] > 10 and steps["a", "30"]["metrics"]["n_nodes"] == 6 and steps["a", "00"]["metrics"]["n_principles"] == 5
+    runs.write_views(markdown.node_rows(done), markdown.edge_rows(done), str(tmp_path))
+    assert {p.name for p in tmp_path.iterdir()} == {"concepts", "relations", "triples", "graph", "dgroup", "content_vector", "ntriples", "metrics", "verification"}
+    assert spark.read.json(str(tmp_path / "verification")).filter("not passed").count() == 0
+    assert spark.read.json(str(tmp_path / "relations")).filter("slug = 'a' and predicate = 'contains'").count() == 5
