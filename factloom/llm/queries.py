@@ -141,10 +141,10 @@ from (select sum(n * pow(k / n - {mean}, 2)) as q, sum({mean} * (1 - {mean})) as
 
 SQL["op8_url_reputation"] = f"""
 with u as (select page_id, translate(regexp_extract(coalesce(url, ''), '{reputation.PATTERN}', 1), '{reputation.UPPER}', '{reputation.LOWER}') as host, regexp_extract(coalesce(url, ''), '{reputation.PATTERN}', 2) as path from pages),
-r as (select *, case when (host = 'example.net' or host like '%.example.net') and path like '/en/%' then 'example.net/en/' when (host = 'example.com' or host like '%.example.com') and path like '/de/%' then 'example.com/de/' when (host = 'org' or host like '%.org') and path like '/fr/%' then 'org/fr/' when (host = 'net' or host like '%.net') and path like '/%' then 'net/' end as rule from u),
+r as (select *, regexp_replace(regexp_replace(host, '^.*@', ''), ':[0-9]*$', '') as site, case when (host = 'example.net' or host like '%.example.net') and path like '/en/%' then 'example.net/en/' when (host = 'example.com' or host like '%.example.com') and path like '/de/%' then 'example.com/de/' when (host = 'org' or host like '%.org') and path like '/fr/%' then 'org/fr/' when (host = 'net' or host like '%.net') and path like '/%' then 'net/' end as rule from u),
 l as (select doc_id as page_id, min(quality) as good from labels group by doc_id),
-o as (select r.host, count(good) as n, coalesce(sum(good), 0)::bigint as k from r left join l using (page_id) group by r.host),
-h as (select *, array_to_string(string_split(host, '.')[-2:], '.') as domain, string_split(host, '.')[-1] as suffix from o),
+o as (select r.site as host, count(good) as n, coalesce(sum(good), 0)::bigint as k from r left join l using (page_id) group by r.site),
+h as (select *, case when regexp_matches(host, '^[0-9.]+$|^\\[') then host else array_to_string(string_split(host, '.')[-2:], '.') end as domain, case when regexp_matches(host, '^[0-9.]+$|^\\[') then 'address' else string_split(host, '.')[-1] end as suffix from o),
 sl as (select suffix, sum(n) as n, sum(k) as k from h group by suffix),
 dl as (select domain, suffix, sum(n) as n, sum(k) as k from h group by all),
 top as (select (coalesce(sum(k), 0) + 1) / (coalesce(sum(n), 0) + 2) as m from h),
@@ -153,7 +153,7 @@ s2 as (select dl.*, m from dl join p1 using (suffix)), p2 as (select domain, (k
 s3 as (select h.*, m from h join p2 using (domain)), p3 as (select host, (k + s * m) / (n + s) as p, s, n from s3, ({_strength_sql("s3", "m")})),
 b as (select host, p, p + 1.645 * sqrt(p * (1 - p) / (n + s + 1)) as bound from p3)
 select page_id, r.host, path, rule, case when rule in ('net/', 'example.com/de/') then 'block' when rule is not null then 'allow' when bound < 0.7 then 'block' else 'allow' end as verdict, round(p, 6) as host_rate, round(bound, 6) as host_bound
-from r left join b using (host)"""
+from r left join b on b.host = r.site"""
 
 
 def oracle_sql() -> dict[str, str]:
