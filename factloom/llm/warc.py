@@ -17,10 +17,11 @@ from pyspark.sql import functions as F
 
 RECORD = "record_id string, type string, target_uri string, date string, content_type string, refers_to string, headers map<string,string>, block binary"
 _SPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # the name space of URLs
-_DROP = re.compile(r"(?is)<!--.*?-->|<(script|style|noscript|template)\b[^>]*>.*?</\1\s*>")
+_HIDDEN = re.compile(r"(?i)<!--|<(script|style|noscript|template)\b")
+_SHUT = {x: re.compile(rf"(?i)</{x}\s*>") for x in ("script", "style", "noscript", "template", "title")}
 _BREAK = re.compile(r"(?i)<(?:br|/?(?:p|div|h[1-6]|li|ul|ol|tr|table|article|section|header|footer|nav|title|blockquote|pre))\b[^>]*>")
 _TAG = re.compile(r"<[/!?a-zA-Z][^>]*>")
-_TITLE = re.compile(r"(?is)<title\b[^>]*>(.*?)</title\s*>")
+_TITLE = re.compile(r"(?i)<title\b")
 _LANG = re.compile(r"(?is)<html\b[^>]*?\blang\s*=\s*[\"']?([A-Za-z-]+)")
 _LINK = re.compile(r"(?is)<a\b[^>]*?\bhref\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))")
 _CHARSET = re.compile(r"(?i)charset=\"?([\w-]+)")
@@ -36,10 +37,57 @@ def identifier(*parts: str) -> str:
     return f"<urn:uuid:{uuid.uuid5(_SPACE, chr(0).join(parts))}>"
 
 
+def _inside(page: str, at: int, name: str) -> tuple[int, int, int] | None:
+    """Where the content of the element starts whose name ends at the place, where it ends and where its end tag does."""
+    start = page.find(">", at) + 1
+    end = _SHUT[name].search(page, start) if start else None
+    return (start, end.start(), end.end()) if end else None
+
+
+def shown(page: str) -> str:
+    """The page without comments, scripts, styles and templates. One pass from the left: what is not closed stays, and as
+    nothing of its kind is closed after it, its kind is not looked for again."""
+    out, at, open_ = [], 0, set()
+    for m in _HIDDEN.finditer(page):
+        kind = (m[1] or "--").lower()
+        if m.start() < at or kind in open_:
+            continue
+        if kind == "--":
+            end = page.find("-->", m.end()) + 3
+        else:
+            found = _inside(page, m.end(), kind)
+            end = found[2] if found else 2
+        if end == 2:
+            open_.add(kind)
+            continue
+        out += [page[at : m.start()], " "]
+        at = end
+    return "".join([*out, page[at:]])
+
+
+def _text_of(visible: str) -> str:
+    whole = visible.rfind(">") + 1  # no tag can end after it
+    page = _TAG.sub("", _BREAK.sub("\n", visible[:whole])) + visible[whole:]
+    return _LINES.sub("\n", _BLANKS.sub(" ", html.unescape(page))).strip()
+
+
 def plain_text(page: str) -> str:
     """Visible text of a page: no comments, scripts or styles, a line for each block, entities resolved."""
-    page = _TAG.sub("", _BREAK.sub("\n", _DROP.sub(" ", page)))
-    return _LINES.sub("\n", _BLANKS.sub(" ", html.unescape(page))).strip()
+    return _text_of(shown(page))
+
+
+def about_page(page: str, visible: str) -> tuple[str | None, str | None, list[str]]:
+    """Title, language and link targets; those of tags in the visible part, read tag by tag."""
+    opened = _TITLE.search(page)
+    found = _inside(page, opened.end(), "title") if opened else None
+    title = _BLANKS.sub(" ", html.unescape(page[found[0] : found[1]])).strip() if found else None
+    lang, links = None, []
+    for tag in _TAG.finditer(visible, 0, visible.rfind(">") + 1):
+        if lang is None and (m := _LANG.match(tag[0])):
+            lang = m[1]
+        elif m := _LINK.match(visible, tag.start()):
+            links.append(html.unescape(m[1] or m[2] or m[3] or ""))
+    return title, lang, links
 
 
 def split_http(block: bytes) -> tuple[str, list[tuple[str, str]], bytes]:
@@ -62,13 +110,13 @@ def derive(record_id: str, uri: str, date: str, block: bytes) -> list[dict]:
         page = body.decode(charset[1] if charset else "utf-8", "replace")
     except LookupError:
         page = body.decode("utf-8", "replace")
-    text = plain_text(page).encode()
+    visible = shown(page)
+    text = _text_of(visible).encode()
     conversion, metadata = identifier("conversion", record_id), identifier("metadata", record_id)
-    title, lang = _TITLE.search(page), _LANG.search(page)
+    title, lang, links = about_page(page, visible)
     about = {
         "source-status": status, "source-headers": headers, "source-payload-digest": digest(body), "source-block-digest": digest(block), "conversion": conversion,
-        "title": _BLANKS.sub(" ", html.unescape(title[1])).strip() if title else None, "language": lang[1] if lang else None,
-        "links": [html.unescape(a or b or c) for a, b, c in _LINK.findall(_DROP.sub(" ", page))],
+        "title": title, "language": lang, "links": links,
     }
     made = []
     for kind, own, content_type, data in (("metadata", metadata, "application/json", json.dumps(about, ensure_ascii=False).encode()), ("conversion", conversion, "text/plain; charset=utf-8", text)):
