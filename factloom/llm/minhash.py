@@ -205,7 +205,7 @@ class _Tile:
 
 
 def _compared(size: int, num: int, den: int):
-    """Links of groups whose rows follow each other."""
+    """Links of groups (the first two columns) whose rows follow each other."""
     def run(batches):
         held: list[pa.RecordBatch] = []
 
@@ -215,11 +215,11 @@ def _compared(size: int, num: int, den: int):
             return pa.RecordBatch.from_arrays([pa.array([x for x, _ in links], pa.int64()), pa.array([y for _, y in links], pa.int64())], ["a", "b"])
 
         for batch in batches:
-            keys = batch.column(0).to_numpy()
-            edges = [0, *(np.flatnonzero(keys[1:] != keys[:-1]) + 1).tolist(), len(keys)]
+            keys = np.stack([batch.column(i).to_numpy() for i in (0, 1)])
+            edges = [0, *(np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1).tolist(), keys.shape[1]]
             for start, end in zip(edges, edges[1:], strict=False):
                 if end > start:
-                    if held and held[-1].column(0)[0].as_py() != keys[start]:
+                    if held and any(held[-1].column(i)[0].as_py() != keys[i, start] for i in (0, 1)):
                         yield out()
                     held.append(batch.slice(start, end - start))
         if held:
@@ -259,11 +259,11 @@ def near_duplicates(docs: DataFrame, size: int = 5, similarity: tuple[int, int]
     units = cut(own.groupBy("k1", "k2").agg(F.first("regs").alias("regs"), F.first("text").alias("text")))
 
     def compare(dealt: DataFrame) -> DataFrame:
-        """Links of dealt (grp, side, k1, k2, rep, n, c, band)."""
+        """Links of dealt (grp, sub, side, k1, k2, rep, n, c, band)."""
         dealt = cut(dealt)
         parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(50_000, dealt.count() // 2_000))
-        rows = dealt.join(units, ["k1", "k2"]).select("grp", "side", "rep", "n", "c", F.col("band").cast("long").alias("band"), "regs", "text")
-        found = cut(rows.repartition(parts, "grp").sortWithinPartitions("grp", "side", "rep").mapInArrow(_compared(size, num, den), "a long, b long"))
+        rows = dealt.join(units, ["k1", "k2"]).select("grp", "sub", "side", "rep", "n", "c", F.col("band").cast("long").alias("band"), "regs", "text")
+        found = cut(rows.repartition(parts, "grp", "sub").sortWithinPartitions("grp", "sub", "side", "rep").mapInArrow(_compared(size, num, den), "a long, b long"))
         release(dealt)
         return found
 
@@ -278,9 +278,9 @@ def near_duplicates(docs: DataFrame, size: int = 5, similarity: tuple[int, int]
         pairs = members.join(drawn, "key").filter("c <> h_c").select(*node, *[f"h_{x}" for x in node]).distinct()
         kept = pairs = cut(pairs)
         of_hub = pairs.groupBy("h_k1", "h_k2").agg(tiles(F.count("*"), F.sum("n")).alias("tiles"))
-        pairs = pairs.join(of_hub, ["h_k1", "h_k2"]).withColumn("grp", F.xxhash64("h_k1", "h_k2", F.pmod(F.xxhash64("k1", F.lit(5)), F.col("tiles"))))
-        hubs = pairs.select("grp", F.lit(0).alias("side"), *[F.col(f"h_{x}").alias(x) for x in node], F.lit(-1).alias("band")).distinct()
-        links = compare(hubs.unionByName(pairs.select("grp", F.lit(1).alias("side"), *node, F.lit(-1).alias("band"))))
+        pairs = pairs.join(of_hub, ["h_k1", "h_k2"]).select("*", F.col("h_k1").alias("grp"), F.pmod(F.xxhash64("k1", F.lit(5)), F.col("tiles")).alias("sub"))
+        hubs = pairs.select("grp", "sub", F.lit(0).alias("side"), *[F.col(f"h_{x}").alias(x) for x in node], F.lit(-1).alias("band")).distinct()
+        links = compare(hubs.unionByName(pairs.select("grp", "sub", F.lit(1).alias("side"), *node, F.lit(-1).alias("band"))))
         release(kept)
         return links
 
@@ -303,7 +303,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, similarity: tuple[int, int]
         # tiles of the main component are numbered below 0
         t = F.when(F.col("is_main"), -1 - F.col("t")).otherwise(F.col("t"))
         low, high = F.least(t, "o"), F.greatest(t, "o")
-        return compare(dealt.select(F.xxhash64("key", low, high).alias("grp"), (t > F.col("o")).cast("int").alias("side"), *node, "band"))
+        return compare(dealt.select(F.col("key").alias("grp"), (low * (1 << 32) + high).alias("sub"), (t > F.col("o")).cast("int").alias("side"), *node, "band"))
 
     # an id that has several sets is linked with the representatives of them all
     several = usable.groupBy("id").agg(F.min("k1").alias("low"), F.max("k1").alias("high")).filter("low <> high").select("id")
