@@ -25,13 +25,16 @@ ADDED = {
     "id": "(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
 }
 KINDS = (*BASE, *ADDED)
-#: Words that name a private value.
+#: Words that name a private value: of each base kind, and of the kinds that the method adds.
+NAMES = {"email": ("mail", "email", "e-mail", "contact", "write", "to", "from"), "ip": ("ip", "host", "server", "address", "addr", "login", "from"), "card": ("card", "visa", "mastercard", "amex", "credit", "debit", "pay", "payment", "number"), "phone": ("phone", "tel", "call", "fax", "mobile", "cell", "number", "at")}
 GAZETTEER = ("password", "passwd", "pwd", "token", "secret", "apikey", "api_key", "key", "credential", "phone", "tel", "call", "fax", "ssn", "social", "id", "passport", "account")
 #: Code points before a candidate that the context labelers see.
 CONTEXT = 24
-#: Passes of expectation-maximisation over the vote patterns, of which there are at most 3 to the labelers.
+#: Passes of expectation-maximisation over the vote patterns of a kind.
 PASSES = 40
 LABELERS = ("shape", "gazetteer", "assigned", "mixed", "plain")
+#: What the classifier sees besides the votes, each in a few steps from 0 to 3.
+FEATURES = ("long", "digits", "classes", "distinct", "before")
 
 
 def _matches(text: Column, pattern: str, kind: str) -> Column:
@@ -85,21 +88,36 @@ def base_spans(text: Column) -> dict[str, Column]:
 
 
 def _votes(text: Column, x: Column) -> dict[str, Column]:
-    """1 for private, -1 against, 0 abstains."""
+    """1 for private, -1 against, 0 abstains; the labeler of shapes and the gazetteer know the kinds."""
     before = F.lower(F.substr(text, F.greatest(F.lit(1), x["start"] + 1 - CONTEXT), F.least(x["start"], F.lit(CONTEXT))))
-    digits = F.length(F.regexp_replace(x["match"], "[^0-9]", ""))
+    n = F.length(F.regexp_replace(x["match"], "[^0-9]", ""))
     letters = F.length(F.regexp_replace(x["match"], "[^A-Za-z]", ""))
-    secret = x["kind"] == KINDS.index("secret")
-    words = "|".join(GAZETTEER)
+    of = lambda kind: x["kind"] == KINDS.index(kind)
+    shape = F.when(of("secret"), x["match"].rlike("^[0-9a-f]+$|^(?=.*[0-9])(?=.*[A-Z])(?=.*[a-z])")).when(of("email"), x["match"].rlike("[A-Za-z0-9]@.*\\.[A-Za-z]{2,}$"))
+    shape = shape.when(of("ip"), ~x["match"].rlike("^0|\\.0[0-9]")).when(of("card"), x["match"].rlike("^[3-6]")).when(of("phone"), n.between(10, 13)).otherwise(True)
+    words = F.lit("(?:^|[^a-z])(?:" + "|".join(GAZETTEER) + ")[^a-z]*$")
+    for kind, names in NAMES.items():
+        words = F.when(of(kind), "(?:^|[^a-z])(?:" + "|".join(names) + ")[^a-z]*$").otherwise(words)
     return {
-        "shape": F.when(secret, F.when(x["match"].rlike("^[0-9a-f]+$|^(?=.*[0-9])(?=.*[A-Z])(?=.*[a-z])"), 1).otherwise(-1)).otherwise(1),
-        "gazetteer": F.when(before.rlike(f"(?:^|[^a-z])(?:{words})[^a-z]*$"), 1).otherwise(0),
-        "assigned": F.when(before.rlike("[:=]\\s?\"?$"), 1).otherwise(F.when(secret, -1).otherwise(0)),
-        "mixed": F.when((digits > 2) & ((letters > 2) | ~secret), 1).otherwise(-1),
+        "shape": F.when(shape, 1).otherwise(-1),
+        "gazetteer": F.when(F.regexp_like(before, words), 1).otherwise(0),
+        "assigned": F.when(before.rlike("[:=]\\s?\"?$"), 1).otherwise(F.when(of("secret"), -1).otherwise(0)),
+        "mixed": F.when((n > 2) & ((letters > 2) | ~of("secret")) | of("email"), 1).otherwise(-1),
         "plain": F.when(x["match"].rlike("^[A-Za-z]+$|^(.)\\1+$"), -1).otherwise(0),
     }
 
 
+def _features(text: Column, x: Column) -> dict[str, Column]:
+    """What the span itself and the character before it look like, in steps from 0 to 3."""
+    size, last = F.length(x["match"]), F.substr(text, x["start"], F.lit(1))
+    share = lambda n: F.least(F.lit(3), F.floor(4 * n / size)).cast("int")
+    classes = sum((F.when(x["match"].rlike(c), 1).otherwise(0) for c in ("[a-z]", "[A-Z]", "[0-9]", "[^A-Za-z0-9]")), F.lit(-1))
+    return {
+        "long": F.least(F.lit(3), F.floor(size / 10)).cast("int"), "digits": share(F.length(F.regexp_replace(x["match"], "[^0-9]", ""))), "classes": classes,
+        "distinct": share(F.size(F.array_distinct(F.split(x["match"], "")))), "before": F.when(x["start"] == 0, 0).when(last.rlike("\\s"), 1).when(last.rlike("[:=\"'(<]"), 2).otherwise(3),
+    }
+
+
 def reliabilities(patterns: list[tuple[tuple[int, ...], int]], passes: int = PASSES, prior: float = 0.5) -> tuple[float, list[dict[int, tuple[float, float]]]]:
     """Expectation-maximisation over (votes, count): the rate of private spans, and for each labeler and vote its
     rate among private and other spans. Counts are smoothed towards labelers that are right more often than not."""
@@ -126,20 +144,25 @@ def posterior(votes: tuple[int, ...], rate: float, table: list[dict[int, tuple[f
     return 1 / (1 + math.exp(-max(-500.0, min(500.0, logit))))
 
 
-def fit_classifier(patterns: list[tuple[tuple[int, ...], int]], steps: int = 300, rate: float = 0.5) -> list[float]:
-    """Logistic regression of the posteriors on the votes: a bias and a weight for each labeler."""
-    prior, table = reliabilities(patterns)
-    n = len(patterns[0][0]) if patterns else len(LABELERS)
+def fit_classifier(patterns: list[tuple[tuple[int, ...], int]], kinds: list[int] | None = None, more: list[tuple[float, ...]] | None = None, steps: int = 300) -> list[float]:
+    """Logistic regression of the posteriors on the votes and more inputs of each pattern: a bias and a weight for each input.
+    Each kind has reliabilities of its own. Accelerated descent with the step that the longest input allows."""
+    kinds, more = kinds or [0] * len(patterns), more or [()] * len(patterns)
+    fitted = {k: reliabilities([p for p, own in zip(patterns, kinds, strict=True) if own == k]) for k in set(kinds)}
     total = sum(c for _, c in patterns) or 1
-    rows = [((1, *v), c / total, posterior(v, prior, table)) for v, c in patterns]
-    w = [0.0] * (n + 1)
-    for _ in range(steps if patterns else 0):
-        grad = [0.02 * x / total for x in w]
+    rows = [((1, *v, *x), c / total, posterior(v, *fitted[k])) for (v, c), k, x in zip(patterns, kinds, more, strict=True)]
+    n = len(rows[0][0]) if rows else len(LABELERS) + 1
+    step = 4 / max((sum(a * a for a in x) for x, _, _ in rows), default=1)
+    w, ahead = [0.0] * n, [0.0] * n
+    for t in range(steps if rows else 0):
+        grad = [0.002 * a for a in ahead]
         for x, share, target in rows:
-            p = 1 / (1 + math.exp(-sum(a * b for a, b in zip(w, x, strict=True))))
+            p = 1 / (1 + math.exp(-max(-500.0, min(500.0, sum(a * b for a, b in zip(ahead, x, strict=True))))))
             for j, v in enumerate(x):
                 grad[j] += share * (p - target) * v
-        w = [a - 4 * rate * g for a, g in zip(w, grad, strict=True)]
+        new = [a - step * g for a, g in zip(ahead, grad, strict=True)]
+        ahead = [a + t / (t + 3) * (a - b) for a, b in zip(new, w, strict=True)]
+        w = new
     return [round(x, 6) for x in w]
 
 
@@ -147,11 +170,12 @@ def detect(docs: DataFrame, threshold: float = 0.5, id_col: str = "doc_id", text
     """doc_id, spans as an array of (start, end, kind, score) and base as the part of it that patterns and
     checksums alone give, for every row of docs.
 
-    Base spans are kept as they are, with score 1. Candidates of further kinds that overlap none of them get
-    votes; their patterns are counted over all rows, EM estimates how far each labeler is right, and a logistic
-    classifier fitted to its posteriors scores each candidate, kept from threshold up. Only the counts of vote
-    patterns, at most 3 ** 5 rows, reach the driver. Offsets are code points, ends exclusive. Null texts count
-    as empty. Rows are independent, so repeated and null ids stay. carry adds the whole input row as a struct `row`.
+    Candidates are the base spans and those of further kinds that overlap none of them. All get votes; EM estimates
+    for each kind how far each labeler is right, and a logistic classifier of the votes, the kind and the span's own
+    features, fitted to the posteriors, scores each. Base spans are kept whatever their score, others from threshold
+    up. Only counts of patterns, whose number no input changes (votes, kinds and features have a few values each), reach
+    the driver. Offsets are code points, ends exclusive. Null texts count as empty. Rows are independent, so
+    repeated and null ids stay. carry adds the whole input row as a struct `row`.
     """
     text = F.col("text")
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *([F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")] if carry else []))
@@ -162,30 +186,38 @@ def detect(docs: DataFrame, threshold: float = 0.5, id_col: str = "doc_id", text
         none = F.expr("cast(array() as array<struct<start:int,end:int,kind:int,match:string>>)")
         found = F.when(F.length(text) >= 11, F.concat(*[F.when(text.rlike(p), _matches(text, p, k)).otherwise(none) for k, p in ADDED.items()])).otherwise(none)
         free = F.filter(found, lambda x: ~F.exists("base", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])))
-        scored = F.transform(free, lambda x: F.struct(x["start"], x["end"], x["kind"], *[v.alias(k) for k, v in _votes(text, x).items()]))
-        slim = F.transform("base", lambda x: F.struct(x["start"], x["end"], x["kind"]))
-        return df.withColumn("added", scored).withColumn("base", F.array_sort(slim, lambda a, b: F.when(a["start"] != b["start"], a["start"] - b["start"]).otherwise(a["kind"] - b["kind"])))
+        df = df.withColumn("found", F.concat("base", free))
+        seen = F.transform("found", lambda x: F.struct(x["start"], x["end"], x["kind"], *[v.alias(k) for k, v in (_votes(text, x) | _features(text, x)).items()]))
+        return df.withColumn("found", F.array_sort(seen, lambda a, b: F.when(a["start"] != b["start"], a["start"] - b["start"]).otherwise(a["kind"] - b["kind"]))).drop("base")
 
     rows = with_candidates(rows)
     rows = cut(rows.drop("text"))
-    counts = rows.select(F.explode("added").alias("x")).groupBy(*[F.col(f"x.{k}").alias(k) for k in LABELERS]).count().collect()
-    weights = fit_classifier(sorted((tuple(r[k] for k in LABELERS), r["count"]) for r in counts))
+    inputs = ["kind", *LABELERS, *FEATURES]
+    counts = rows.select(F.explode("found").alias("x")).groupBy(*[F.col(f"x.{k}").alias(k) for k in inputs]).count().collect()
+    counts = sorted(tuple(r) for r in counts)
+    n = 1 + len(LABELERS)
+    more = [(*(float(r[0] == k) for k in range(len(KINDS))), *(v / 3 for v in r[n:-1])) for r in counts]
+    weights = fit_classifier([(r[1:n], r[-1]) for r in counts], [r[0] for r in counts], more)
 
     def score(x: Column) -> Column:
-        logit = F.lit(weights[0])
-        for k, w in zip(LABELERS, weights[1:], strict=True):
+        if not counts:
+            return F.lit(0.0)
+        logit = F.lit(weights[0]) + F.element_at(F.array(*[F.lit(w) for w in weights[n : n + len(KINDS)]]), x["kind"] + 1)
+        for k, w in zip(LABELERS, weights[1:n], strict=True):
             logit = logit + x[k] * F.lit(w)
+        for k, w in zip(FEATURES, weights[n + len(KINDS) :], strict=True):
+            logit = logit + x[k] / 3 * F.lit(w)
         return 1 / (1 + F.exp(-logit))
 
-    added = F.filter(F.transform("added", lambda x: F.struct(x["start"], x["end"], x["kind"], F.round(score(x), 6).alias("score"))), lambda x: x["score"] >= threshold)
-    every = F.concat(F.transform("base", lambda x: F.struct(x["start"], x["end"], x["kind"], F.lit(1.0).alias("score"))), added)
-    every = F.array_sort(every, lambda a, b: F.when(a["start"] != b["start"], a["start"] - b["start"]).otherwise(a["kind"] - b["kind"]))
+    scored = F.transform("found", lambda x: F.struct(x["start"], x["end"], x["kind"], F.round(score(x), 6).alias("score")))
+    every = F.filter(scored, lambda x: (x["kind"] < len(BASE)) | (x["score"] >= threshold))
+    base = F.filter("found", lambda x: x["kind"] < len(BASE))
     name = F.array(*[F.lit(k) for k in KINDS])
 
     def named(spans):
         return F.transform(spans, lambda x: F.struct(x["start"], x["end"], F.element_at(name, x["kind"] + 1).alias("kind"), *([x["score"]] if spans is every else [])))
 
-    return rows.select("doc_id", *(["row"] if carry else []), named(every).alias("spans"), named(F.col("base")).alias("base"))
+    return rows.select("doc_id", *(["row"] if carry else []), named(every).alias("spans"), named(base).alias("base"))
 
 
 def span_string(spans: Column) -> Column:
