@@ -26,7 +26,9 @@ def closure(ids, links):
     return low
 
 
-def test_components(spark):
+@pytest.mark.parametrize("small", [0, 1000])
+def test_components(spark, monkeypatch, small):
+    monkeypatch.setattr(common, "SMALL", small)
     links = [(i, i + 1) for i in range(1, 40)] + [(100, 200), (200, 150), (7, 7)]
     random.Random(1).shuffle(links)
     got = {r["id"]: r["component"] for r in common.components(spark.createDataFrame(links, "a long, b long").repartition(5)).collect()}
@@ -68,6 +70,46 @@ def test_near_duplicates_against_brute_force(spark, k):
             assert (r["n_shingles"], r["component_id"], r["kept"]) == (len(sets[r["doc_id"]]), low[r["doc_id"]], low[r["doc_id"]] == r["doc_id"])
 
 
+def test_near_duplicates_of_repeated_ids(spark):
+    """An id's sets all stand for it, whichever of them a partition holds first."""
+    draw = random.Random(3)
+    a, b, c = (" ".join(draw.choice("abcdefghijklmnopqrstuvwxyz") * draw.randint(1, 9) for _ in range(60)) for _ in range(3))
+    rows = [(1, a), (1, b), (2, a + " x"), (3, b + " y"), (3, b + " y"), (5, c), (6, c), (6, a + " z"), (7, None), (7, "alone")]
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), size=2).collect()
+    assert len(got) == len(rows)
+    assert {(r["doc_id"], r["component_id"]) for r in got} == {(1, 1), (2, 1), (3, 1), (5, 1), (6, 1), (7, 7)}
+
+
+def test_near_duplicates_in_many_tiles(spark, monkeypatch):
+    """Small tiles, a large component, unlinked members and a crowd below the threshold."""
+    monkeypatch.setattr(minhash, "TILE", 4)
+    draw = random.Random(9)
+    vocabulary = [f"w{i}" for i in range(5000)]
+    base = [draw.choice(vocabulary) for _ in range(100)]
+    texts = []
+    for changed in [2] * 40 + [8] * 40:
+        copy = list(base)
+        for at in draw.sample(range(100), changed):
+            copy[at] = draw.choice(vocabulary)
+        texts.append(" ".join(copy))
+    sets = {i: brute_shingles(t, 2) for i, t in enumerate(texts)}
+    links = [(x, y) for x in sets for y in sets if x < y and 100 * len(sets[x] & sets[y]) >= 80 * len(sets[x] | sets[y])]
+    low = closure(sets, links)
+    assert 1 < len(set(low.values()))
+    got = minhash.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), size=2).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == low
+
+
+def test_words_across_pieces(monkeypatch):
+    draw = random.Random(5)
+    text = " ".join("".join(draw.choice("abXY") for _ in range(draw.choice([1, 3, 40]))) for _ in range(200)).encode()
+    whole = minhash.word_hashes(b"\t" + text + b"\r\n")
+    monkeypatch.setattr(minhash, "PIECE", 7)
+    assert (minhash.word_hashes(text) == whole).all() and len(whole) == 200
+    assert minhash.word_hashes(text.lower()).tolist() == whole.tolist()
+    assert len(minhash.word_hashes(b"")) == len(minhash.word_hashes(b" \n\x0b")) == 0
+
+
 def test_near_duplicates_of_nothing(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert minhash.near_duplicates(empty).count() == 0
@@ -105,6 +147,24 @@ def usable(v):
     return v is not None and len(v) > 0 and all(x is not None and np.isfinite(x) for x in v) and any(x != 0 for x in v)
 
 
+def test_near_vectors_of_repeated_ids(spark):
+    rows = [(1, [1.0, 0.0], 0), (1, [0.0, 1.0], 0), (2, [1.0, 0.01], 0), (4, [0.01, 1.0], 0), (4, [0.01, 1.0], 0), (7, [-1.0, 0.0], 0), (7, None, 0)]
+    got = vectors.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").repartition(3)).collect()
+    assert sorted((r["vec_id"], r["n_links"], r["component_id"]) for r in got) == [(1, 1, 1), (1, 2, 1), (2, 1, 1), (4, 2, 1), (4, 2, 1), (7, 0, 7), (7, 0, 7)]
+
+
+def test_collisions_are_counted_in_windows():
+    rng = np.random.default_rng(4)
+    rows, cols = rng.standard_normal((60, vectors.PROJECTIONS)), rng.standard_normal((80, vectors.PROJECTIONS))
+    for width, count in ((0.6, 4), (1.0, 12), (2.0, 21)):
+        want = (np.abs(rows[:, None] - cols) <= width).sum(axis=2) >= count
+        got = np.zeros_like(want)
+        got[vectors._collisions(rows, cols, width, count, False)] = True
+        assert (got == want).all()
+        same = np.triu((np.abs(rows[:, None] - rows) <= width).sum(axis=2) >= count, 1)
+        assert set(zip(*vectors._collisions(rows, rows, width, count, True))) == set(zip(*np.nonzero(same)))
+
+
 def test_near_vectors_against_brute_force(spark, cloud):
     rows, df = cloud
     good = [(i, np.array(v) / np.abs(v).max(), lab) for i, v, lab in rows if lab is not None and usable(v)]
@@ -227,6 +287,35 @@ def test_budgets_go_to_siblings_first(spark):
     assert got == {"a": 20, "c": 40, "d": 455}
 
 
+def test_weight_zero_takes_nothing(spark):
+    rows = [(i, "a b c d", lang, "src0") for i, lang in enumerate(["en", "de", "fr"] * 20)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    got = mixing.mix(df, share=(1, 2), max_epochs=4, weights={"domain": {}, "lang": {"de": 0}, "source": {}})
+    by = {r["lang"]: r["n"] for r in got.groupBy("lang").agg(F.sum(F.col("n_tokens") * F.col("repeats")).alias("n")).collect()}
+    assert by["de"] == 0 and by["en"] + by["fr"] == 120
+    none = mixing.mix(df, weights={"domain": {"web": 0}, "lang": {}, "source": {}})
+    assert none.count() == 60 and none.filter("repeats > 0").count() == 0
+
+
+def test_plain_differencing_is_the_same(spark):
+    """A small table goes through one cell: groups, sizes and spread are those of differencing done plainly."""
+    draw = random.Random(12)
+    texts = ["x" * draw.randint(1, 900) + str(i) for i in range(120)] + ["copy"] * 9
+    got = sharding.shard_by_bytes(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), 16).collect()
+    sums = [0] * 16
+    for r in got:
+        sums[r["shard"]] += r["size"]
+    sizes = {}
+    for t in texts:
+        sizes[t] = sizes.get(t, 0) + len(t) + 1
+    parts = [([n] + [0] * 15) for n in sizes.values()]
+    while len(parts) > 1:  # the two of largest spread, largest with smallest
+        parts.sort(key=lambda p: max(p) - min(p))
+        a, b = sorted(parts.pop()), sorted(parts.pop(), reverse=True)
+        parts.append([x + y for x, y in zip(a, b, strict=True)])
+    assert max(sums) - min(sums) <= max(parts[0]) - min(parts[0]) + 4 and sum(sums) == sum(parts[0])
+
+
 def test_mixing(spark):
     draw = random.Random(8)
     rows = [(i, "word " * draw.randint(0, 60), draw.choice(["en", "de", None]), draw.choice(["src0", "src0", "src3", "src9", None])) for i in range(2000)] + [(None, "a b", "en", "src0"), (7, "twice", "en", "src0")]
@@ -245,6 +334,27 @@ def test_mixing(spark):
     assert every.count() == 0
 
 
+def test_pipeline_stages_on_odd_tables(spark, tmp_path):
+    """Empty tables, repeated and missing ids, and columns whose names clash with those that operators make."""
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    spark.createDataFrame([(i, 1, 0) for i in range(1, 9)] + [(9, 1, 1)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    text = "one text of several words that comes again and again in this small table"
+    rows = [(1, text), (1, text), (1, text + " more"), (2, text), (None, text), (None, "only here without an id and with enough words"), (None, "only here without an id and with enough words"), (None, None), (4, ""), (4, ""), (5, "another text that nothing else in the table is like at all")]
+    docs = spark.createDataFrame([(*r, "en", "src1", 7, True, ["x"], "z") for r in rows], "doc_id long, text string, lang string, source string, component_id int, kept boolean, spans array<string>, row string")
+    for df in (docs, docs.limit(0)):
+        at, ids = df, {}
+        for name, stage in corpus_pipeline.STAGES:
+            at = common.cut(stage(spark, at, str(tmp_path)))
+            ids[name] = sorted((r["doc_id"] or -1) for r in at.collect())
+            if name != "sentencepiece":
+                assert at.columns == docs.columns
+        if df is docs:
+            assert ids["toxicity"] == sorted((r[0] or -1) for r in rows)
+            assert ids["near_duplicates"] == [-1, -1, 1, 4, 5] == ids["personal_data"]
+        else:
+            assert not any(ids.values())
+
+
 def test_pipeline_stages(spark, tmp_path):
     corpus_pipeline = pytest.importorskip("corpus_pipeline")
     draw = random.Random(9)

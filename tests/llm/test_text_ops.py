@@ -7,6 +7,7 @@ import re
 import zlib
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -52,6 +53,29 @@ def test_stream_commits_before_the_end(codec):
     assert first == "▁the" and len(taken) < 200
 
 
+@needs_model
+def test_whole_documents_are_streamed():
+    """Windows are committed all along a document, each no longer than a few pieces, and the ids are the library's."""
+    import random
+
+    import sentencepiece
+
+    with open(MODEL, "rb") as f:
+        codec = S.Codec(f.read())
+    lib, draw = sentencepiece.SentencePieceProcessor(model_file=MODEL), random.Random(8)
+    words = ["".join(draw.choice("abcdefghilmnorstuäé-") for _ in range(draw.randint(1, 12))) for _ in range(300)]
+    for n in (10, 400, 3000):
+        text = draw.choice([" ", "\n"]).join(draw.choice(words) for _ in range(n)) + "x" * n
+        want = lib.encode(text)
+        codec.commits = codec.window = 0
+        got = [i for p in codec.encode_stream(S.SPACE + text.replace(" ", S.SPACE)) for i in codec._ids_of(p)]
+        assert got == want and codec.commits > n / 2 and codec.window <= 64 * codec.longest
+        fresh = S.Codec(open(MODEL, "rb").read())
+        assert fresh.encode(text) == want and 0 < fresh.commits  # the query's way, through the same encoder
+        before = fresh.commits
+        assert fresh.encode(" ".join(text.split())) and fresh.commits >= before
+
+
 def test_unigram_viterbi_is_the_best_segmentation():
     from itertools import product
 
@@ -155,6 +179,23 @@ def test_expectation_maximisation_tells_good_labelers():
     assert w[1] > abs(w[3]) and pii.fit_classifier([]) == [0.0] * 6
 
 
+def test_kinds_have_their_own_reliabilities():
+    """A labeler that is right about one kind and wrong about another counts for each as it should."""
+    votes = [((1, 1, 1), 80), ((-1, -1, -1), 80), ((1, -1, 1), 5)]
+    turned = [((-1, 1, 1), 80), ((1, -1, -1), 80)]
+    more = [(1.0, 0.0, 1.0), (1.0, 0.0, 0.0), (1.0, 0.0, 1.0), (0.0, 1.0, 1.0), (0.0, 1.0, 0.0)]
+    w = pii.fit_classifier(votes + turned, [0, 0, 0, 1, 1], more)
+    assert len(w) == 1 + 3 + 3 and w[6] > 0.5  # the feature that goes with the posteriors
+    logit = lambda v, x: w[0] + sum(a * b for a, b in zip(w[1:], (*v, *x), strict=True))
+    assert logit((1, 1, 1), more[0]) > 0 > logit((-1, -1, -1), more[1]) and logit((-1, 1, 1), more[3]) > 0 > logit((1, -1, -1), more[4])
+
+
+def test_base_spans_have_scores(spark):
+    texts = ["mail to ann@example.org or 10.1.2.3", "version 1.2.3.4 of it", "card 4111 1111 1111 1111", "call +1 389 555 5010 now"] * 5
+    got = pii.detect(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).select(F.explode("spans").alias("x")).select("x.*").collect()
+    assert len(got) == 25 and all(0 <= r["score"] <= 1 for r in got) and len({r["score"] for r in got}) > 2
+
+
 def edits(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
@@ -187,7 +228,7 @@ def test_misspelled_stems_and_short_words():
     for token, want in [("idiots", (0, 0)), ("idi0ts", (0, 1)), ("idots", (0, 1)), ("xidiots", (0, 1)), ("idiioting", (0, 1)), ("idi0tic", (3, 1)), ("idioms", None), ("idio", None), ("i0i0ts", None), ("veqx", None), ("scvm", (2, 1)), ("scum", (2, 0)), ("sum", None), ("scums", None), ("sxvm", None)]:
         assert a.match(token) == want, token
     rows = [("idiot", True, 30, 0), ("idiots", False, 15, 0), ("idiotic", False, 15, 0), ("scum", False, 20, 0)]
-    assert {(t, s) for t, s, _ in toxicity.choose_terms(rows, 60, 600)} == {(t, s) for t, s, _, _ in rows}
+    assert {(t, s) for t, s, _, _ in toxicity.choose_terms(rows, 60, 600)} == {(t, s) for t, s, _, _ in rows}
 
 
 TOXIC = [(i, f"plain words number {i} here and you are a stupid moron today", 1) for i in range(1, 60)] + [(i, f"plain words number {i} here and nothing bad at all today", 0) for i in range(60, 400)]
@@ -217,8 +258,39 @@ def test_labels_of_held_out_rows_are_not_learned(spark):
     assert len(none) == 1 and toxicity.score_documents(docs.limit(0), labels).count() == 0
 
 
+def test_only_hit_misspelled_or_quoted(spark):
+    """A misspelled term is caught where it is the only hit; a quoted one scores lower than a plain one."""
+    extra = [(2000 + i, f"plain words {w} here today") for i, w in enumerate(["m0ron", "morom", "stupd", "moron", 'he wrote "moron"', "maroon", "number"])]
+    rows = [(i, f"plain words {'maroon' if i % 2 and not y else ''} {('moron', 'stupid')[i % 2] if y else 'number'} here today", y) for i, _, y in TOXIC]
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows] + extra, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
+    score = {r["doc_id"]: r["score"] for r in toxicity.score_documents(docs, labels).filter("doc_id >= 2000").collect()}
+    assert min(score[2000], score[2001], score[2002], score[2003]) >= 0.5 > score[2005]  # maroon is a usual word
+    assert score[2004] < score[2003] and score[2006] < 0.5
+
+
+def test_repeated_ids_do_not_grow_the_sample(spark):
+    docs = spark.createDataFrame([(i, t) for i, t, _ in TOXIC], "doc_id long, text string")
+    many = docs.unionByName(docs.filter("doc_id < 100").withColumn("text", F.concat("text", F.lit(" z"))))
+    labels = spark.createDataFrame([(i, y) for i, _, y in TOXIC], "doc_id long, toxic int")
+    a, b = toxicity.fit(docs, labels), toxicity.fit(many.unionByName(many), labels)
+    assert (a.terms, a.weights, a.usual) == (b.terms, b.weights, b.usual)
+
+
+def test_signs_and_folds():
+    """Near words of clean rows in both folds are usual; a term whose near words are common gets no weight."""
+    terms = [("moron", False, 6.0, 100), ("stupid", False, 6.0, 100)]
+    got = toxicity.misspelled_weights(terms, [{"oron": 50, "stupida": 40}, {"oron": 30, "stupido": 60}], 400, 3000)
+    assert got[0][3] > 2 and got[1][3] == 0
+    m = toxicity.Matcher(got, frozenset(["oron"]))
+    assert m["m0ron"] == (0, 1) and m["oron"] is None and m["stupids"] is None and m["stupid"] == (1, 0)
+    assert m.corrupted("a Moron, here") != "a Moron, here" and m.features(m.corrupted("a moron here"))[:2][0] == 0 < m.features(m.corrupted("a moron here"))[1]
+    w = toxicity.fit_logistic(np.array([[0.0, 1, 1, 0, 0]] * 5 + [[1.0, 0, 0, 0, 0]] * 5), np.array([0.0] * 5 + [1.0] * 5), np.ones(10))
+    assert w[2] == 0 == w[3]
+
+
 def test_quoted_terms_count_apart():
-    m = toxicity.Matcher([("moron", False, 5.0)])
+    m = toxicity.Matcher([("moron", False, 5.0, 3.0)])
     plain, quoted, said = m.features("you moron there"), m.features('he wrote "you moron" there'), m.features("she said moron then")
     assert plain[0] > 0 == plain[2] and quoted[2] > 0 == quoted[0] and said[2] > 0 and m.features(None) == [0.0] * 5
 
@@ -273,6 +345,108 @@ def test_warc_derivatives(spark, tmp_path):
     assert warc.derivatives(records.limit(0)).count() == 0 and warc.derivatives(records.withColumn("type", F.lit("request"))).count() == 0
 
 
+def test_hostile_pages_take_linear_time():
+    """Openers without an end, a hundred thousand of them, and tags without a bracket."""
+    import time
+
+    began = time.process_time()
+    for piece in ("<script>", "<!--", "<script", "<a ", "<html ", "<title>", "<title", "<style></script>", '<a href="', "<a href='x>", "</p", "<html lang"):
+        page = piece * 100_000
+        assert isinstance(warc.plain_text(page), str) and warc.about_page(page + ">", warc.shown(page + ">"))
+    assert time.process_time() - began < 20
+
+
+def test_shown_parts():
+    assert warc.shown("a<!-- x -->b<SCRIPT x='1'>c</script >d<style>e") == "a b d<style>e" and warc.shown("<!-->x--> y") == "  y"
+    assert warc.about_page("<title>a<b>c</TITLE><html lang=de>", "<html lang=de><a class=x href='u'>") == ("a<b>c", "de", ["u"])
+    assert warc.about_page('<a href="x>y">', '<a href="x>y">')[2] == ["x>y"]
+
+
+def test_ports_users_and_addresses_share_no_domain(spark):
+    rows = [(1, "http://u:p@a.site.org:8080/x"), (2, "http://a.site.org/"), (3, "http://192.0.2.1:80/"), (4, "http://192.0.2.2/"), (5, "http://b.co.in/")]
+    labels = spark.createDataFrame([(1, 0)] * 1 + [(3, 0)], "page_id long, good int")
+    df = spark.createDataFrame(rows, "page_id long, url string")
+    got = {r["page_id"]: r for r in reputation.judge(df, labels, rules=()).collect()}
+    assert got[1]["host"] == "u:p@a.site.org:8080" and got[1]["host_rate"] == got[2]["host_rate"]
+    levels = df.select("page_id", *[x.alias(n) for x, n in zip(reputation._levels(reputation.site_of(reputation.split_url(F.col("url"))[0]), (*reputation.SUFFIXES, "co.in")), ("d", "s"), strict=True)])
+    assert {tuple(r) for r in levels.collect()} == {(1, "site.org", "org"), (2, "site.org", "org"), (3, "192.0.2.1", "address"), (4, "192.0.2.2", "address"), (5, "b.co.in", "co.in")}
+
+
+def plain_page(page):
+    """Title, links and text by patterns over the whole page, as far as all tags are closed."""
+    import html
+
+    kept = re.sub(r"(?is)<!--.*?-->|<(script|style|noscript|template)\b[^>]*>.*?</\1\s*>", " ", page)
+    title = re.search(r"(?is)<title\b[^>]*>(.*?)</title\s*>", page)
+    links = [html.unescape(a or b or c) for a, b, c in re.findall(r"(?is)<a\b[^>]*?\bhref\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", kept)]
+    text = re.sub(r"(?i)<(?:br|/?(?:p|div|h[1-6]|li|ul|ol|tr|table|article|section|header|footer|nav|title|blockquote|pre))\b[^>]*>", "\n", kept)
+    text = html.unescape(re.sub(r"<[/!?a-zA-Z][^>]*>", "", text))
+    return html.unescape(title[1]).strip() if title else None, links, re.sub(r" ?\n[ \n]*", "\n", re.sub(r"[ \t\r\f\v\xa0]+", " ", text)).strip()
+
+
+def test_derivatives_of_the_table_are_the_plain_ones(spark):
+    import json
+
+    sf = "/root/testdata/sf0.001"
+    if not os.path.exists(sf):
+        pytest.skip("no tables here")
+    pages = {i: (u, h or "") for i, u, h in duckdb.sql(f"select page_id, url, html from '{sf}/pages.parquet'").fetchall()}
+    rows = queries.op10_warc_derivatives(spark, sf).collect()
+    assert len(rows) == 2 * len(pages)
+    for r in rows:
+        title, links, text = plain_page(pages[r["page_id"]][1])
+        if r["type"] == "conversion":
+            assert r["content"] == text
+        else:
+            about = json.loads(r["content"])
+            assert about["links"] == links and (about["title"] or None) == (re.sub(r"[ \t\r\f\v\xa0]+", " ", title).strip() if title else None)
+
+
+def plain_score(model, text):
+    """A document's score by comparing each word with each term."""
+    import math
+
+    weights, words = model.weights, (text or "").lower().split()
+    hits = []
+    for i, token in enumerate(words):
+        word, best = token.strip(toxicity.PUNCTUATION), None
+        for n, (term, stem, _, near) in enumerate(model.terms):
+            limit = toxicity.allowed_edits(term, stem)
+            if stem:
+                ends = [edits(word[:k], term) for k in range(1, len(word) + 1) if word[k - 1] == term[-1] and edits(word[: k - 1], term[:-1]) <= limit]
+                cost = min((edits(word[: k - 1], term[:-1]) for k in range(1, len(word) + 1) if word[k - 1] == term[-1]), default=9) if ends else 9
+            else:
+                cost = edits(word, term) if len(term) > 4 else sum(a != b for a, b in zip(word, term, strict=False)) if len(word) == len(term) else 9
+            if cost <= limit and (best is None or cost < best[0]):
+                best = (cost, n)
+        if best and not (best[0] and (word in model.usual or model.terms[best[1]][3] <= 0)):
+            hits.append((i, *best))
+    exact = near = quoted = crowd = meant = 0.0
+    for k, (i, cost, n) in enumerate(hits):
+        w = model.terms[n][3 if cost else 2]
+        before, after = words[max(0, i - 8) : i], words[i + 1 : i + 9]
+        opened = any(x[0] in toxicity.QUOTES for x in [*before, words[i]]) and any(x[-1] in toxicity.QUOTES for x in [words[i], *after])
+        if opened or toxicity.REPORTING & set(before[-3:]):
+            quoted += w
+            continue
+        meant += 1
+        exact, near = (exact, near + w) if cost else (exact + w, near)
+        if any(abs(i - j) <= 8 for j, _, _ in hits[max(0, k - 1) : k] + hits[k + 1 : k + 2]):
+            crowd += w
+    x = [math.log1p(exact), math.log1p(near), math.log1p(quoted), math.log1p(crowd), meant / (len(words) + 1)]
+    z = weights[0] + sum(a * b for a, b in zip(weights[1:], x, strict=True))
+    return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
+
+
+def test_scores_are_the_plain_ones():
+    terms = [("moron", False, 6.0, 4.0), ("scum", False, 5.5, 4.0), ("worthless", False, 6.0, 0.0), ("stupid", False, 5.0, 3.0)]
+    model = toxicity.Model(terms, [-4.0, 2.5, 2.0, 0.5, 1.0, 12.0], frozenset(["stupor", "morons"]))
+    score = model.scorer()
+    texts = [None, "", "plain words", "you m0ron", "you moron and scum here", "scvm", "sum", "worthles", "worthless!", 'he said "stupid" twice', "stupor stupd stupid.", "morons moroon", " ".join(["x"] * 50 + ["scum"] + ["y"] * 9 + ["stupit"])]
+    for t in texts:
+        assert abs(score(t) - plain_score(model, t)) < 1e-12, t
+
+
 def test_plain_text_of_odd_pages():
     assert warc.plain_text("") == "" and warc.plain_text("a < b > c <unclosed") == "a < b > c <unclosed" and warc.plain_text("<p>a</p><script>never closed") == "a\nnever closed"
     assert warc.split_http(b"no head") == ("", [], b"no head") and warc.split_http(b"HTTP/1.1 200 OK\nA: 1\nA: 2\n\nbody") == ("HTTP/1.1 200 OK", [("A", "1"), ("A", "2")], b"body")
