@@ -12,7 +12,8 @@ LEVELS = ("domain", "lang", "source")
 WEIGHTS = {"domain": {"web": 3, "reference": 4, "forum": 2}, "lang": {"en": 4, "de": 2}, "source": {}}
 #: Sources of each domain; any other source is of the domain forum.
 DOMAINS = {"web": ("src0", "src1", "src2"), "reference": ("src3", "src4", "src5", "src6", "src7")}
-BUCKETS = 4096
+#: Rows of a leaf that share a bucket at most on average; a bucket is one to five hexadecimal digits, three at least.
+BUCKET_ROWS = 4_000
 #: A leaf table of more rows than this is joined by shuffle instead of broadcast.
 BROADCAST_ROWS = 20_000
 
@@ -39,8 +40,8 @@ def _weight(level: str, weights) -> Column:
 def _fill(nodes: DataFrame, parent: list[str], level: str, weights) -> DataFrame:
     """Split each parent's budget among its children by weight, none over its capacity. What a child cannot take
     goes to its siblings by weight. Exact: whole tokens, and the rest by rounding goes to the first."""
-    order = Window.partitionBy(*parent).orderBy(F.col("cap") / F.col("w"), level)
     nodes = nodes.withColumn("w", _weight(level, weights))
+    order = Window.partitionBy(*parent).orderBy(F.when(F.col("w") > 0, F.col("cap") / F.nullif("w", F.lit(0).cast("decimal(38,0)"))).otherwise(0), level)
     nodes = nodes.withColumn("before", F.sum("cap").over(order) - F.col("cap"))
     nodes = nodes.withColumn("left", F.sum("w").over(Window.partitionBy(*parent)) - F.sum("w").over(order) + F.col("w"))
     nodes = nodes.withColumn("full", F.expr("cap * left <= w * (budget - before)"))
@@ -56,8 +57,12 @@ def _fill(nodes: DataFrame, parent: list[str], level: str, weights) -> DataFrame
 
 
 def budgets(leaves: DataFrame, share: tuple[int, int], max_epochs: int, weights=WEIGHTS, levels=LEVELS) -> DataFrame:
-    """leaves (the levels, tokens) with budget: how many tokens each gives, at most max_epochs times its own."""
-    cap = leaves.withColumn("cap", (F.col("tokens") * max_epochs).cast("decimal(38,0)"))
+    """leaves (the levels, tokens) with budget: how many tokens each gives, at most max_epochs times its own. What lies below a
+    weight of 0 gives none, and its share goes to the others."""
+    open_ = F.lit(True)
+    for level in levels:
+        open_ = open_ & (_weight(level, weights) > 0)
+    cap = leaves.withColumn("cap", F.when(open_, F.col("tokens") * max_epochs).otherwise(0).cast("decimal(38,0)"))
     total = F.expr(f"cast(least(sum(tokens) * {share[0]} div {share[1]}, sum(tokens) * {max_epochs}) as decimal(38,0))")
     above, parent = leaves.agg(total.alias("budget")), []
     for i, level in enumerate(levels):
@@ -73,14 +78,16 @@ def mix(docs: DataFrame, share: tuple[int, int] = (1, 2), max_epochs: int = 4, s
 
     The budget is share of all tokens (words). A leaf with budget b and t tokens gives each document b div t
     times; in the next epoch it gives the prefix, in the order of the hash of seed, epoch and doc_id, that b mod t
-    tokens hold. The prefix is found from sums over hash buckets; only rows of the one bucket where it ends are
-    sorted. Null lang or source counts as ''. Texts without words have 0 tokens and cost nothing. A leaf without
+    tokens hold. The prefix is found from sums over hash buckets, more of them the more rows the largest leaf has; only
+    rows of the one bucket where it ends are sorted. A weight of 0 takes nothing. Null lang or source counts as ''. Texts without words have 0 tokens and cost nothing. A leaf without
     tokens has no budget, and its documents are not taken. Repeated ids sit next to each other in the order.
     """
     rows = docs.select("doc_id", domain_of(F.coalesce("source", F.lit("")), domains).alias("domain"), F.coalesce("lang", F.lit("")).alias("lang"), F.coalesce("source", F.lit("")).alias("source"), word_count(F.col("text")).alias("n_tokens"))
     rows = cut(rows)
-    leaves = rows.groupBy(*LEVELS).agg(F.sum("n_tokens").alias("tokens"))
-    plan = budgets(leaves, share, max_epochs, weights)
+    leaves = cut(rows.groupBy(*LEVELS).agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("rows")))
+    most = leaves.agg(F.max("rows")).first()[0] or 0
+    digits = next((d for d in (3, 4) if 16**d * BUCKET_ROWS >= most), 5)
+    plan = budgets(leaves.drop("rows"), share, max_epochs, weights)
     plan = cut(plan.withColumn("whole", F.expr("coalesce(budget div nullif(tokens, 0), 0)")).withColumn("rest", F.expr("budget - whole * tokens")))
     n_leaves = plan.count()
 
@@ -88,7 +95,7 @@ def mix(docs: DataFrame, share: tuple[int, int] = (1, 2), max_epochs: int = 4, s
         return df.join(F.broadcast(plan) if n_leaves <= BROADCAST_ROWS else plan, list(LEVELS))
 
     draw = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("whole").cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))
-    drawn = with_plan(rows, plan).withColumn("draw", draw).withColumn("bucket", F.conv(F.substring("draw", 1, 3), 16, 10).cast("int"))
+    drawn = with_plan(rows, plan).withColumn("draw", draw).withColumn("bucket", F.conv(F.substring("draw", 1, digits), 16, 10).cast("int"))
     sums = drawn.groupBy(*LEVELS, "bucket", "rest").agg(F.sum("n_tokens").alias("n"))
     sums = sums.withColumn("upto", F.sum("n").over(Window.partitionBy(*LEVELS).orderBy("bucket")))
     end = sums.filter("upto > rest").groupBy(*LEVELS).agg(F.min("bucket").alias("last"), F.min(F.expr("upto - n")).alias("taken"))
