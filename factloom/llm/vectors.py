@@ -14,7 +14,7 @@ from factloom.llm.common import components, cut, forest
 #: Projections, and rows of a tile at most.
 PROJECTIONS, TILE = 24, 1024
 #: Projections that are counted for all pairs of a tile.
-FIRST_LINES = 8
+FIRST_LINES = 12
 #: Half-width of a window in standard deviations of the difference of two vectors at the threshold.
 WIDTH = 3.0
 #: The chance that a pair at the threshold is missed, by which the collision count is calibrated.
