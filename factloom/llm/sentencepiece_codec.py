@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from array import array
 from itertools import chain
 
 import pyarrow as pa
@@ -14,6 +15,10 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 #: Segments whose ids a task keeps, in each of two generations; longer segments are never kept.
 KEPT, KEPT_LENGTH = 250_000, 48
+#: Moves that are kept beside those of the trie (others are found by its fallbacks each time), and pairs of pieces for
+#: which a task keeps whether one may follow the other, before it begins anew.
+MOVES, PAIRS = 200_000, 600_000
+NEVER = float("-inf")
 UNIGRAM, BPE = 1, 2
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 
@@ -40,11 +45,12 @@ class _Kept(dict):
 class Codec:
     """Encoder and decoder of one model.
 
-    encode_stream is the one encoder. It reads characters one by one. For each end it keeps one backpointer: where
-    the last piece starts and which it is. Only the starts of unfinished pieces, all within the longest piece, and
-    the end itself can still be used, so these are the surviving paths; whenever all of them pass through one
-    boundary, the ids before it are committed. The results of segments, between which no piece can lie, so that
-    paths always converge there, are kept and used again.
+    encode_stream is the one encoder. It reads characters one by one. For each end it keeps one backpointer: the
+    last piece, whose length tells where it starts. An Aho-Corasick automaton over the pieces tells in one move a
+    character which pieces end there and which starts have an unfinished piece. Only these starts, all within the
+    longest piece, and the end itself can still be used, so these are the surviving paths; whenever all of them pass
+    through one boundary, the ids before it are committed. The results of segments, between which no piece can lie,
+    so that paths always converge there, are kept and used again.
 
     In a unigram model the backpointer is that of the best sum of scores. In a BPE model it is the one piece
     that ends the BPE merge of the prefix: pieces follow each other in a merge result if and only if merging
@@ -71,122 +77,198 @@ class Codec:
         self.longest = max(map(len, self.ids), default=1)
         self.floor = min((self.scores[i] for i in self.ids.values()), default=0.0) - 10.0
         many = [p for p in self.ids if len(p) > 1]
-        self.trie: list = [{}, None]  # a node: its children, and the piece that ends there
-        for p in self.ids:
-            node = self.trie
-            for c in p:
-                node = node[0].setdefault(c, [{}, None])
-            node[1] = p
+        self.score_of = {p: self.scores[i] for p, i in self.ids.items()}
+        self.fits: dict[str, dict[str | None, bool]] = {p: {} for p in self.ids}  # piece, piece before it or None
+        self.merges: dict[str, list | None] = {}
+        self.pairs, self.room = 0, MOVES
+        self.root = self._automaton()
         self.commits = self.window = 0  # commits so far, and the most characters that waited for one
-        self.fits: dict[str, dict[str, bool]] = {}
-        self.whole: dict[str, bool] = {}
         self.seen, self.words, self.bare = _Kept(self._segment), _Kept(self._word), _Kept(self._bare)
         joined = {c for p in many for c in p} - {SPACE}
         inner = any(SPACE in p.lstrip(SPACE) for p in many)
         of = "".join(map(re.escape, sorted(joined))) or "\\0"
         # between these segments no piece can lie
         self.segments = re.compile(f"(?s)[{of}{SPACE}]+|." if inner else f"(?s){SPACE}*[{of}]+|{SPACE}+|.").findall
+        letters = "".join(re.escape(c) for c in sorted(joined) if c.isalpha()) or "\\0"
+        self.plain = re.compile(f"[{letters}]+").fullmatch  # one segment also with a space before it, and nothing to cut
         # words can be encoded apart, each with the space before it, and so can lines
         self.apart, self.newline = self.prefix and not inner and "\n" not in joined, self._ids_of("\n")
         after = {b for p in many for a, b in zip(p, p[1:], strict=False) if a.isalpha() and not b.isalpha()}
         cuts = "".join(re.escape(c) for c in sorted(joined) if not c.isalpha() and c not in after)
         self.finer = re.compile(f"(?s)(?<=[^\\W\\d_])(?=[{cuts}])").split if cuts and not inner else None
 
-    def merge(self, text: str) -> list[str]:
-        """BPE of a short text: the adjacent pair of highest score is merged first, the left one of equals."""
-        parts = list(text)
-        while len(parts) > 1:
-            best, at = None, -1
-            for i in range(len(parts) - 1):
-                n = self.ids.get(parts[i] + parts[i + 1])
-                if n is not None and (best is None or self.scores[n] > best):
-                    best, at = self.scores[n], i
-            if best is None:
+    def _automaton(self) -> tuple:
+        """The root of the automaton. A state is the longest end of the text with which a piece begins: its moves, the
+        pieces that end there (the longest first) with their lengths and fits, how far back the unfinished pieces
+        start, and the state of the next shorter end."""
+        root: tuple = ({}, [], [], [])
+        for p in self.ids:
+            node = root
+            for c in p:
+                node = node[0].setdefault(c, ({}, [], [], []))
+            node[1].append((len(p), p, self.fits[p]))
+        level, depth = [(c, node, root) for c, node in root[0].items()], 1
+        while level:
+            after = []
+            for c, node, shorter in level:  # shorter: where the search for the next shorter end begins
+                while shorter is not root and c not in shorter[0]:
+                    shorter = shorter[3][0]
+                shorter = shorter[0].get(c, root) if depth > 1 else root
+                moves, ends, starts, fallback = node
+                fallback.append(shorter)
+                ends += shorter[1]
+                if moves:
+                    starts.append(depth)
+                starts += shorter[2]
+                after += [(x, child, shorter) for x, child in moves.items()]
+            level, depth = after, depth + 1
+        return root
+
+    def _move(self, state: tuple, c: str) -> tuple:
+        """The state after c, where the trie has no move for it; kept while there is room."""
+        root, at, found = self.root, state, None
+        while found is None and at is not root:
+            at = at[3][0]
+            found = at[0].get(c)
+        if found is None:
+            return root
+        if self.room:
+            self.room -= 1
+            state[0][c] = found
+        return found
+
+    def merge(self, text: str) -> tuple[list[str], list[tuple[float, str, str]]]:
+        """BPE of a short text: the adjacent pair of highest score is merged first, the left one of equals. Gives the
+        parts that are left, and for each merge its score with the first and last part after it."""
+        parts, steps = list(text), []
+        score = self.score_of.get
+        pairs = [score(a + b, NEVER) for a, b in zip(parts, parts[1:], strict=False)]
+        while pairs:
+            best = max(pairs)
+            if best == NEVER:
                 break
+            at = pairs.index(best)
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
-        return parts
+            del pairs[at]
+            if at:
+                pairs[at - 1] = score(parts[at - 1] + parts[at], NEVER)
+            if at < len(pairs):
+                pairs[at] = score(parts[at] + parts[at + 1], NEVER)
+            steps.append((best, parts[0], parts[-1]))
+        return parts, steps
+
+    def _steps(self, piece: str) -> list[tuple[float, str, str]] | None:
+        """The merges of a piece by itself, ended by one that never comes; None if they don't give the piece."""
+        if piece not in self.merges:
+            if len(self.merges) > len(self.ids) + 50_000:  # characters without a piece are unlimited
+                self.merges.clear()
+            parts, steps = self.merge(piece)
+            self.merges[piece] = [*steps, (NEVER, "", "")] if parts == [piece] else None
+        return self.merges[piece]
+
+    def _apart(self, before: str, piece: str) -> bool:
+        """Whether merging both together leaves the two. Until a merge joins them, each goes through its own merges;
+        which of these or of the pair at the border is next, is told by the score, and by the place of equals."""
+        left, right = self._steps(before), self._steps(piece)
+        if left is None or right is None:
+            return False
+        score, i, j, end, start = self.score_of.get, 0, 0, before[-1], piece[0]
+        border = score(end + start, NEVER)
+        while True:
+            a, b = left[i], right[j]
+            if border > a[0] and border >= b[0]:
+                return False
+            if a[0] >= b[0]:
+                if a[0] == NEVER:
+                    return True
+                i += 1
+                if a[2] != end:
+                    end = a[2]
+                    border = score(end + start, NEVER)
+            else:
+                j += 1
+                if b[1] != start:
+                    start = b[1]
+                    border = score(end + start, NEVER)
 
     def follows(self, before: str | None, piece: str) -> bool:
-        if before is None:
-            ok = self.whole.get(piece)
-            if ok is None:
-                ok = self.whole[piece] = self.merge(piece) == [piece]
-            return ok
-        known = self.fits.get(before)
-        if known is None:
-            if len(self.fits) > 50_000:
-                self.fits.clear()
-            known = self.fits[before] = {}
-        ok = known.get(piece)
+        """Whether merging leaves piece as it is after the piece before it, or at the beginning of the text (None)."""
+        ok = self.fits[piece].get(before)
         if ok is None:
-            ok = known[piece] = self.merge(before + piece) == [before, piece]
+            if self.pairs >= PAIRS:
+                for known in self.fits.values():
+                    known.clear()
+                self.pairs = 0
+            self.pairs += 1
+            ok = self.fits[piece][before] = self._steps(piece) is not None if before is None else self._apart(before, piece)
         return ok
 
     def encode_stream(self, chars):
         """Pieces of an iterable of characters (spaces already replaced), yielded as soon as they are certain."""
-        starts, last, score = [0], [None], [0.0]  # from the committed boundary; at each end: start, piece, score
-        root, longest, unigram, whole, fits = self.trie[0], self.longest, self.kind == UNIGRAM, self.whole, self.fits
-        open_: list[tuple[int, dict]] = []  # starts of unfinished pieces, with the children of their nodes
+        return chain.from_iterable(self._windows(chars))
+
+    def _windows(self, chars):
+        """The pieces of each commit."""
+        last, score = [None], [0.0]  # at each end from the committed boundary: the piece that ends there, the score
+        state, longest, unigram = self.root, self.longest, self.kind == UNIGRAM
         end = 0
         for c in chars:
-            open_.append((end, root))
+            state = state[0].get(c) or self._move(state, c)
             end += 1
-            going, best = [], None
-            for at, children in open_:  # the longest piece first
-                node = children.get(c)
-                if node is None:
-                    continue
-                if node[0]:
-                    going.append((at, node[0]))
-                piece = node[1]
-                if piece is None:
-                    continue
-                if unigram:
-                    s = score[at] + self.scores[self.ids[piece]]
-                    if best is None or s > best[2]:
-                        best = (at, piece, s)
-                elif best is None:  # one fits
-                    before = last[at]
-                    known = whole if before is None else fits.get(before)
-                    ok = None if known is None else known.get(piece)
-                    if self.follows(before, piece) if ok is None else ok:
-                        best = (at, piece, 0.0)
-            if best is None or (unigram and c not in self.ids and score[end - 1] + self.floor > best[2]):
-                best = (end - 1, c, score[end - 1] + self.floor)
-            starts.append(best[0])
-            last.append(best[1])
-            score.append(best[2])
-            open_ = going
-            if going and end % longest:
+            if unigram:
+                best = None
+                least = top = score[end - 1] + self.floor  # of the character alone
+                for n, piece, _ in state[1]:
+                    s = score[end - n] + self.score_of[piece]
+                    if best is None or s > top:
+                        best, top = piece, s
+                if best is None or (c not in self.ids and least > top):
+                    best, top = c, least
+                score.append(top)
+            else:
+                for n, piece, fits in state[1]:
+                    before = last[end - n]
+                    ok = fits.get(before)
+                    if self.follows(before, piece) if ok is None else ok:  # one fits
+                        best = piece
+                        break
+                else:
+                    best = c
+            last.append(best)
+            open_ = state[2]
+            if not open_:
+                boundary = end
+            elif end % longest:
                 continue
-            boundary = self._converged({end, *(at for at, _ in going)}, starts)
+            else:
+                boundary = self._converged({end, *(end - n for n in open_)}, last)
             if boundary:
-                yield from self._committed(boundary, starts, last)
-                open_ = [(at - boundary, children) for at, children in going]
+                yield self._committed(boundary, last)
                 end -= boundary
-                starts = [0, *(x - boundary for x in starts[boundary + 1 :])]
                 last = last[boundary:]
-                score = [0.0, *(x - score[boundary] for x in score[boundary + 1 :])]
+                if unigram:
+                    score = [0.0, *(x - score[boundary] for x in score[boundary + 1 :])]
         if end:
-            yield from self._committed(end, starts, last)
+            yield self._committed(end, last)
 
     @staticmethod
-    def _converged(alive: set[int], starts: list[int]) -> int:
+    def _converged(alive: set[int], last: list) -> int:
         """The boundary where the paths to all of the ends have met, followed back from the furthest."""
         while len(alive) > 1:
             top = max(alive)
             alive.remove(top)
-            alive.add(starts[top])
+            alive.add(top - len(last[top]))
         return alive.pop()
 
-    def _committed(self, boundary: int, starts: list[int], last: list) -> list[str]:
+    def _committed(self, boundary: int, last: list) -> list[str]:
         """Pieces of the path to boundary."""
         self.commits += 1
-        self.window = max(self.window, len(starts) - 1)
+        self.window = max(self.window, len(last) - 1)
         path = []
         while boundary:
-            path.append(last[boundary])
-            boundary = starts[boundary]
+            piece = last[boundary]
+            path.append(piece)
+            boundary -= len(piece)
         return path[::-1]
 
     def _ids_of(self, piece: str) -> list[int]:
@@ -195,11 +277,16 @@ class Codec:
             return [known]
         return [self.bytes_[b] for b in piece.encode("utf-8", "surrogatepass")] if self.bytes_ else [self.unknown]
 
+    def _streamed(self, segment: str) -> tuple[int, ...]:
+        pieces = [p for window in self._windows(segment) for p in window]
+        found = tuple(map(self.ids.get, pieces))
+        return tuple(chain.from_iterable(map(self._ids_of, pieces))) if None in found else found
+
     def _segment(self, segment: str) -> tuple[int, ...]:
         parts = self.finer(segment) if self.finer else [segment]
         if len(parts) > 1:
             return tuple(chain.from_iterable(map(self.seen.__getitem__, parts)))
-        return tuple(chain.from_iterable(map(self._ids_of, self.encode_stream(segment))))
+        return self._streamed(segment)
 
     def _bare(self, text: str) -> tuple[int, ...]:
         """Ids of text that follows a boundary, without a space before it."""
@@ -207,11 +294,13 @@ class Codec:
 
     def _word(self, word: str) -> tuple[int, ...]:
         """Ids of a word with the space before it; what no piece can join to its first letters is kept apart."""
+        if self.plain(word):
+            return self._streamed(SPACE + word)
         parts = self.finer(word) if self.finer else [word]
         if len(parts) > 1:
             return self.words[parts[0]] + tuple(chain.from_iterable(map(self.bare.__getitem__, parts[1:])))
         segments = self.segments(SPACE + word)
-        return self._segment(segments[0]) if len(segments) == 1 else tuple(chain.from_iterable(map(self.seen.__getitem__, segments)))
+        return self._streamed(segments[0]) if len(segments) == 1 else tuple(chain.from_iterable(map(self.seen.__getitem__, segments)))
 
     def _by_words(self, text: str) -> list[int] | None:
         """Ids by lines and words; None where spaces run together."""
@@ -283,14 +372,14 @@ def encode_documents(docs: DataFrame, model_path: str = MODEL, id_col: str = "do
     def run(batches):
         codec = codec_of(model.value)
         for batch in batches:
-            ids, ends, same = [], [0], []
+            ids, ends, same = array("i"), [0], []
             for text in batch.column(1).to_pylist():
                 text = text or ""
                 own = codec.encode(text)
                 same.append(codec.decode(own) == text.replace(SPACE, " "))
-                ids += own
+                ids.extend(own)
                 ends.append(len(ids))
-            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids, pa.int32()))
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.Array.from_buffers(pa.int32(), len(ids), [None, pa.py_buffer(ids)]))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([b - a for a, b in zip(ends, ends[1:], strict=False)], pa.int64()), lists, pa.array(same, pa.bool_())], ["doc_id", "n_tokens", "ids", "round_trip"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))

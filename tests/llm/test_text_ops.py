@@ -76,6 +76,86 @@ def test_whole_documents_are_streamed():
         assert fresh.encode(" ".join(text.split())) and fresh.commits >= before
 
 
+@needs_model
+def test_stream_does_little_a_character():
+    """Words made of known parts take few steps a character, counted in lines run, so that no clock is needed."""
+    import random
+    import sys
+
+    with open(MODEL, "rb") as f:
+        codec = S.Codec(f.read())
+    draw = random.Random(4)
+    parts = ["th", "on", "tion", "er", "ing", "ea", "sh", "the", "ou", "re", "nd", "ha"]
+    words = [S.SPACE + "".join(draw.choice(parts) for _ in range(draw.randint(2, 5))) for _ in range(6000)]
+    lines = 0
+
+    def trace(frame, event, _):
+        nonlocal lines
+        if frame.f_code.co_filename != S.__file__:
+            return None
+        lines += event == "line"
+        return trace
+
+    for x in words[:5000]:
+        list(codec.encode_stream(x))
+    before = sys.gettrace()
+    sys.settrace(trace)
+    try:
+        for x in words[5000:]:
+            list(codec.encode_stream(x))
+    finally:
+        sys.settrace(before)
+    assert lines < 25 * sum(map(len, words[5000:]))
+
+
+@needs_model
+def test_ids_when_little_is_kept(monkeypatch):
+    import random
+
+    import sentencepiece
+
+    for name, most in (("MOVES", 40), ("PAIRS", 15)):
+        monkeypatch.setattr(S, name, most, raising=False)
+    with open(MODEL, "rb") as f:
+        codec = S.Codec(f.read())
+    lib, draw = sentencepiece.SentencePieceProcessor(model_file=MODEL), random.Random(6)
+    for n in range(200):
+        x = "".join(draw.choice("abcdehirstno  \n.,129éü中🙂-") for _ in range(n))
+        spaced = S.SPACE + x.replace(" ", S.SPACE) if x else ""
+        assert [i for p in codec.encode_stream(spaced) for i in codec._ids_of(p)] == lib.encode(x) == codec.encode(x)
+    assert codec.room == 0 and codec.pairs <= 15 and sum(map(len, codec.fits.values())) <= 15
+
+
+def test_pieces_fit_if_merging_both_leaves_them():
+    """Against plain merging, also where a longer piece has the higher score and where scores are equal."""
+    import random
+
+    from sentencepiece import sentencepiece_model_pb2 as pb
+
+    def merged(text, scores):
+        parts = list(text)
+        while True:
+            best = max((scores[a + b] for a, b in zip(parts, parts[1:], strict=False) if a + b in scores), default=None)
+            if best is None:
+                return parts
+            i = next(i for i in range(len(parts) - 1) if scores.get(parts[i] + parts[i + 1]) == best)
+            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+
+    draw = random.Random(9)
+    for _ in range(40):
+        scores = {c: -99.0 for c in "abc"} | {"".join(draw.choice("abc") for _ in range(draw.randint(2, 5))): float(-draw.randint(1, 12)) for _ in range(25)}
+        m = pb.ModelProto()
+        m.trainer_spec.model_type, m.normalizer_spec.name, m.normalizer_spec.remove_extra_whitespaces = 2, "identity", False
+        m.pieces.add(piece="<unk>", score=0.0, type=2)
+        for p, s in scores.items():
+            m.pieces.add(piece=p, score=s, type=1)
+        c = S.Codec(m.SerializeToString())
+        for p in scores:
+            assert c.follows(None, p) == (merged(p, scores) == [p])
+            for before in [*scores, "x"]:
+                assert c.follows(before, p) == (merged(before + p, scores) == [before, p])
+
+
 def test_unigram_viterbi_is_the_best_segmentation():
     from itertools import product
 
