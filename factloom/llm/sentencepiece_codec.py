@@ -18,6 +18,8 @@ KEPT, KEPT_LENGTH = 250_000, 48
 #: Moves that are kept beside those of the trie (others are found by its fallbacks each time), and pairs of pieces for
 #: which a task keeps whether one may follow the other, before it begins anew.
 MOVES, PAIRS = 200_000, 600_000
+#: Rows of a result that are in memory at once.
+ROWS = 256
 NEVER = float("-inf")
 UNIGRAM, BPE = 1, 2
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -371,7 +373,7 @@ def encode_documents(docs: DataFrame, model_path: str = MODEL, id_col: str = "do
 
     def run(batches):
         codec = codec_of(model.value)
-        for batch in batches:
+        for batch in (whole.slice(n, ROWS) for whole in batches for n in range(0, whole.num_rows, ROWS)):
             ids, ends, same = array("i"), [0], []
             for text in batch.column(1).to_pylist():
                 text = text or ""
