@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from factloom.functions.text import content_hash, normalize_markdown
 from factloom.operators import checks, html, markdown
-from factloom.plans.common import SQL_SHINGLES, SQL_WORDS, best, shingles, small, table, words
+from factloom.plans.common import SHINGLE, SQL_SHINGLES, SQL_WORDS, best, shingles, small, table, words
 
 Q, SQL = {}, {}
 
@@ -98,10 +98,17 @@ ranked as (select doc_id, item_id, hit, n, row_number() over (partition by doc_i
 prior as (select * from ranked where k = 1)"""
 
 
-def _shingles(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    d = _shingle_rows(table(spark, sf_dir, "documents"), "doc_id").groupBy("doc_id", "s").agg(F.count("*").alias("x"))
+def _shared(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """doc_id, item_id, s, x, y of shingles that a document and an item both have, n of each document and m of each item.
+
+    Only what items have is counted by document: shingles meet those of the items, which are few, before anything is
+    shuffled.
+    """
     b = _shingle_rows(table(spark, sf_dir, "benchmark"), "item_id").groupBy("item_id", "s").agg(F.count("*").alias("y"))
-    return d, b
+    d = _shingle_rows(table(spark, sf_dir, "documents"), "doc_id").join(small(b, 200_000), "s")
+    size = F.greatest(F.size(words(F.col("text"))) - (SHINGLE - 1), F.lit(0))
+    n = table(spark, sf_dir, "documents").select("doc_id", size.alias("n")).groupBy("doc_id").agg(F.sum("n").alias("n"))
+    return d.groupBy("doc_id", "item_id", "s", "y").agg(F.count("*").alias("x")), n, b.groupBy("item_id").agg(F.sum("y").alias("m"))
 
 
 def _shingle_rows(texts: DataFrame, key: str, distinct: bool = False) -> DataFrame:
@@ -110,18 +117,17 @@ def _shingle_rows(texts: DataFrame, key: str, distinct: bool = False) -> DataFra
     return texts.select(key, words(F.col("text")).alias("ws")).select(key, F.explode(F.array_distinct(found) if distinct else found).alias("s"))
 
 
-def _nearest(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    d, b = _shingles(spark, sf_dir)
-    n, m = d.groupBy("doc_id").agg(F.sum("x").alias("n")), b.groupBy("item_id").agg(F.sum("y").alias("m"))
-    cov = d.join(small(b, 200_000), "s").groupBy("doc_id", "item_id").agg(F.sum(F.least("x", "y")).alias("hit")).join(n, "doc_id").join(small(m), "item_id").filter("m <= n")
-    return d, b, best(cov, ["doc_id"], F.desc("hit"), "item_id")
+def _nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shared, n, m = _shared(spark, sf_dir)
+    cov = shared.groupBy("doc_id", "item_id").agg(F.sum(F.least("x", "y")).alias("hit")).join(n, "doc_id").join(small(m), "item_id").filter("m <= n")
+    return best(cov, ["doc_id"], F.desc("hit"), "item_id")
 
 
 @query(f"""with {SHINGLE_SQL} select documents.doc_id, item_id as nearest_prior, round(coalesce(hit / n, 0), 4) as coverage, round(1 - coalesce(hit / n, 0), 4) as novelty
 from documents left join prior using (doc_id)""")
 def doc_novelty(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One less the largest share of a document's shingles that a benchmark item of no more shingles explains."""
-    _, _, prior = _nearest(spark, sf_dir)
+    prior = _nearest(spark, sf_dir)
     cov = F.coalesce(F.col("hit") / F.col("n"), F.lit(0.0))
     return table(spark, sf_dir, "documents").select("doc_id").join(prior, "doc_id", "left").select("doc_id", F.col("item_id").alias("nearest_prior"), F.round(cov, 4).alias("coverage"), F.round(1 - cov, 4).alias("novelty"))
 
@@ -129,10 +135,9 @@ def doc_novelty(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""with {SHINGLE_SQL}, left_over as (select p.doc_id, sum(greatest(0, x - coalesce(y, 0)))::bigint as residual, any_value(n)::bigint as n from prior p join dc using (doc_id) left join bc on bc.item_id = p.item_id and bc.s = dc.s group by p.doc_id)
 select doc_id, residual, n from left_over""")
 def doc_residual(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Shingles of a document that its nearest prior leaves over, each taken away as often as the prior states it."""
-    d, b, prior = _nearest(spark, sf_dir)
-    own = d.join(prior.select("doc_id", "item_id", "n"), "doc_id").join(small(b, 200_000), ["item_id", "s"], "left")
-    return own.groupBy("doc_id").agg(F.sum(F.greatest(F.lit(0), F.col("x") - F.coalesce("y", F.lit(0)))).alias("residual"), F.first("n").alias("n"))
+    """Shingles of a document that its nearest prior leaves over, each taken away as often as the prior states it: all but
+    those that the two share."""
+    return _nearest(spark, sf_dir).select("doc_id", (F.col("n") - F.col("hit")).alias("residual"), "n")
 
 
 def _cover_sql() -> str:
@@ -146,8 +151,7 @@ def _cover_sql() -> str:
 
 def doc_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Greedy cover of each document's shingles by benchmark items, until nothing more is covered."""
-    d, b = _shingles(spark, sf_dir)
-    left, picked, n = d.join(small(b, 200_000), "s").select("doc_id", "item_id", "s").checkpoint(), [], 0
+    left, picked, n = _shared(spark, sf_dir)[0].select("doc_id", "item_id", "s").checkpoint(), [], 0
     while left.limit(1).count():
         n += 1
         gain = left.groupBy("doc_id", "item_id").agg(F.count("*").alias("n_covered"))
