@@ -59,3 +59,10 @@ def test_shingles_that_no_item_has_are_not_shuffled(spark, prose, name):
     rows, mb = moved(spark, lambda: documents.Q[name](spark, prose[0]))
     assert plain(rows) == oracle(prose[0], documents.SQL[name])
     assert mb < 0.2 * prose[1]
+
+
+@pytest.mark.parametrize("name", ["doc_nearest_prior", "doc_rank_dot"])
+def test_words_are_counted_where_the_text_is(spark, prose, name):
+    rows, mb = moved(spark, lambda: documents.Q[name](spark, prose[0]))
+    assert plain(rows) == oracle(prose[0], documents.SQL[name])
+    assert mb < 1.2 * prose[1]
