@@ -4,18 +4,27 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import _parse_datatype_string
 
 from factloom.functions import expressions as X
+from factloom.operators import fold
 
 #: FACTS is (name, fact_pos, expr in canonical JSON); the order of facts breaks ties.
 PAIR = ["base", "target"]
 
 
+def lattice_of(ascension: DataFrame | dict[str, str] | None) -> dict[str, str] | None:
+    """A lattice (functor, role) as a dictionary. A DataFrame's rows are collected: a lattice lists functors, not data."""
+    if ascension is None or isinstance(ascension, dict):
+        return ascension
+    return {r["functor"]: r["role"] for r in ascension.select("functor", "role").collect()}
+
+
 def ascension_map(ascension: DataFrame | dict[str, str] | None) -> Column | None:
-    """A lattice (functor, role) as a map. A DataFrame's rows are collected: a lattice lists functors, not data."""
-    if ascension is None:
+    found = lattice_of(ascension)
+    if found is None:
         return None
-    found = ascension if isinstance(ascension, dict) else {r["functor"]: r["role"] for r in ascension.select("functor", "role").collect()}
     if not found:
         return F.expr("cast(map() as map<string,string>)")
     return F.create_map(*[F.lit(x) for kv in sorted(found.items()) for x in kv])
@@ -38,6 +47,33 @@ def match_hypotheses(base: DataFrame, target: DataFrame, ascension=None, pairs:
     return both.select(*PAIR, "bpos", "tpos", X.order(F.col("base_expr")).alias("ord"), "corrs")
 
 
+def _beside(base: DataFrame, target: DataFrame, lattice: dict[str, str] | None, pairs: DataFrame | None) -> DataFrame:
+    """base, target, times, and the facts of both as texts: a row for each pair. Without pairs, those of
+    which any facts match.
+
+    A result's facts travel as one row, so that a pair costs no more than its facts, whatever they match.
+    """
+    def held(facts: DataFrame) -> DataFrame:
+        one = F.concat_ws(fold.PART, F.col("fact_pos").cast("string"), "expr", X.match_key(F.col("expr"), ascension_map(lattice)))
+        return facts.filter("expr is not null").select("name", one.alias("f")).groupBy("name").agg(F.array_join(F.collect_list("f"), fold.ROW).alias("f"))
+
+    b, t = held(base), held(target)
+    if pairs is None:
+        keys = lambda facts, side: _sides(facts, ascension_map(lattice), side).select(side, "key").distinct()
+        pairs = keys(base, "base").join(keys(target, "target"), "key").filter("base <> target")
+        pairs = pairs.select(*PAIR).distinct().withColumn("times", F.lit(1).cast("long"))
+    else:
+        pairs = pairs.groupBy(*PAIR).agg(F.count("*").alias("times"))
+    return pairs.join(b.select(F.col("name").alias("base"), F.col("f").alias("b")), "base").join(t.select(F.col("name").alias("target"), F.col("f").alias("t")), "target")
+
+
+def _run(rows: DataFrame, kernel, *args, schema: str) -> DataFrame:
+    return rows.mapInArrow(kernel(*args, to_arrow_schema(_parse_datatype_string(schema))), schema)
+
+
+MAPS = "base string, target string, score double, corrs array<struct<b:string,t:string>>, matched array<struct<bpos:int,tpos:int>>"
+
+
 def align(base: DataFrame, target: DataFrame, ascension=None, pairs: DataFrame | None = None, trickle: float = 0.0) -> DataFrame:
     """base, target, score, corrs, matched: the greedy merge of the hypotheses of each pair.
 
@@ -45,17 +81,8 @@ def align(base: DataFrame, target: DataFrame, ascension=None, pairs: DataFrame |
     one; each adds 1 + its order. With trickle, every matched base fact adds trickle * (1 + order) for each
     strict part that is matched itself. Pairs without any hypothesis have no row.
     """
-    hyp = match_hypotheses(base, target, ascension, pairs)
-    found = hyp.groupBy(*PAIR).agg(F.array_sort(F.collect_list(F.struct((-F.col("ord")).alias("deep"), "bpos", "tpos", "ord", "corrs"))).alias("mhs"))
-    start = F.expr("struct(cast(0 as double) as score, cast(array() as array<struct<b:string,t:string>>) as corrs, cast(array() as array<struct<bpos:int,tpos:int>>) as matched)")
-
-    def step(acc: Column, m: Column) -> Column:
-        more = F.struct(
-            (acc["score"] + 1 + m["ord"]).alias("score"), F.array_union(acc["corrs"], m["corrs"]).alias("corrs"),
-            F.array_append(acc["matched"], F.struct(m["bpos"].cast("int").alias("bpos"), m["tpos"].cast("int").alias("tpos"))).alias("matched"))
-        return F.when(X.consistent(acc["corrs"], m["corrs"]), more).otherwise(acc)
-
-    maps = found.select(*PAIR, F.aggregate("mhs", start, step).alias("g")).select(*PAIR, F.round("g.score", 3).alias("score"), "g.corrs", "g.matched")
+    lattice = lattice_of(ascension)
+    maps = _run(_beside(base, target, lattice, pairs), fold.maps, schema=MAPS)
     if trickle <= 0:
         return maps
     hits = matched_facts(maps, base, "base").select(*PAIR, "fact_pos", "expr")
@@ -104,23 +131,25 @@ def confirmed(projected: DataFrame, target: DataFrame, ascension=None) -> DataFr
     return keyed.drop("key", "wanted").join(hits, [*PAIR, "bpos"], "left").withColumn("status", F.when(F.col("hit"), "confirmed").otherwise("novel")).drop("hit")
 
 
+def conjectures(base: DataFrame, target: DataFrame, ascension=None, pairs: DataFrame | None = None, skolem_penalty: float = 0.0) -> DataFrame:
+    """inferences() of align(), confirmed(), in one pass over each pair, with ordinal i by falling score, text and position."""
+    lattice, pos = lattice_of(ascension), base.schema["fact_pos"].dataType.simpleString()
+    schema = f"base string, target string, bpos {pos}, base_fact string, projection string, anchored int, entity_overlap int, n_skolems int, score double, status string, i int"
+    return _run(_beside(base, target, lattice, pairs), fold.conjectures, float(skolem_penalty), schema=schema)
+
+
 def transfer(base: DataFrame, target: DataFrame, ascension=None, pairs: DataFrame | None = None) -> DataFrame:
     """Conjectures for each pair, with confidence (invented entities always count against it), status and ordinal i."""
-    from pyspark.sql import Window
-
-    rows = confirmed(inferences(align(base, target, ascension, pairs), base, 1.0), target, ascension)
-    rows = rows.withColumnRenamed("score", "confidence")
-    ranked = Window.partitionBy(*PAIR).orderBy(F.desc("confidence"), X.fmt_expr(F.col("projection")), "bpos")
-    return rows.withColumn("i", F.row_number().over(ranked) - 1)
+    return conjectures(base, target, ascension, pairs, 1.0).withColumnRenamed("score", "confidence")
 
 
 def novelty_report(maps: DataFrame, target: DataFrame) -> DataFrame:
     """coverage of the target's facts (one match covers all equal ones), novelty = 1 - coverage, and shortcut =
     coverage * matches / (mapped entities + matches), for each aligned pair."""
-    known = matched_facts(maps, target, "target").groupBy(*PAIR).agg(F.collect_set("expr").alias("known"))
-    facts = target.select(F.col("name").alias("target"), "expr")
-    rows = maps.select(*PAIR, F.size("corrs").alias("m"), F.size("matched").alias("n")).join(known, PAIR).join(facts, "target")
-    out = rows.groupBy(*PAIR, "m", "n").agg(F.avg(F.array_contains("known", F.col("expr")).cast("double")).alias("cov"))
+    held = target.filter("expr is not null").groupBy(F.col("name").alias("target")).agg(F.collect_list(F.struct("fact_pos", "expr")).alias("facts"))
+    rows = maps.select(*PAIR, F.size("corrs").alias("m"), F.size("matched").alias("n"), F.col("matched.tpos").alias("hit")).join(held, "target")
+    rows = rows.withColumn("known", F.transform(F.filter("facts", lambda f: F.array_contains("hit", f["fact_pos"].cast("int"))), lambda f: f["expr"]))
+    out = rows.select(*PAIR, "m", "n", (F.size(F.filter("facts", lambda f: F.array_contains("known", f["expr"]))) / F.size("facts")).alias("cov"))
     return out.select(*PAIR, F.round("cov", 4).alias("coverage"), F.round(1 - F.col("cov"), 4).alias("novelty"), F.round(F.col("cov") * F.col("n") / (F.col("m") + F.col("n")), 4).alias("shortcut"))
 
 

@@ -30,12 +30,13 @@ def query(sql: str | None = None):
 
 
 def order_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
+    # by name from the start, so that facts of an order are together for all that follows
+    order = Window.partitionBy("name").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
     fact = F.concat(F.lit('["'), F.col("l_returnflag"), F.col("l_linestatus"), F.lit('","p'), F.col("l_partkey").cast("string"), F.lit('","s'), F.col("l_suppkey").cast("string"), F.lit('"]'))
-    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", F.row_number().over(order).alias("n"), fact.alias("f"), F.lead(fact).over(order).alias("g"))
+    lines = table(spark, sf_dir, "lineitem").withColumn("name", F.col("l_orderkey").cast("string")).select("name", F.row_number().over(order).alias("n"), fact.alias("f"), F.lead(fact).over(order).alias("g"))
     cause = F.concat(F.lit('["CAUSE",'), F.col("f"), F.lit(","), F.col("g"), F.lit("]"))
     both = F.explode(F.array_compact(F.array(F.struct((2 * F.col("n") - 2).alias("pos"), F.col("f").alias("e")), F.when(F.col("g").isNotNull(), F.struct((2 * F.col("n") - 1).alias("pos"), cause.alias("e"))))))
-    return lines.select(F.col("l_orderkey").cast("string").alias("name"), both.alias("x")).select("name", F.col("x.pos").alias("fact_pos"), F.col("x.e").alias("expr"))
+    return lines.select("name", both.alias("x")).select("name", F.col("x.pos").alias("fact_pos"), F.col("x.e").alias("expr"))
 
 
 def order_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,15 +60,10 @@ folded as (select base, target, list_reduce(list({'s': 1.0::double + ord, 'c': c
 @query(f"with {FACTS_SQL} select base, target, round(g.s, 3) as score, len(g.c)::int as n_mapped, len(g.m)::int as n_matched from folded")
 def order_align(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Structural alignment of every order with the one before it."""
-    f = order_facts(spark, sf_dir).checkpoint()
+    f = order_facts(spark, sf_dir)
     return A.align(f, f, pairs=order_pairs(spark, sf_dir)).select("base", "target", "score", F.size("corrs").alias("n_mapped"), F.size("matched").alias("n_matched"))
 
 
-def _maps(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    f = order_facts(spark, sf_dir).checkpoint()
-    return f, A.align(f, f, pairs=order_pairs(spark, sf_dir)).checkpoint()
-
-
 INFER_SQL = FACTS_SQL + """,
 mk as (select base, target, list_distinct(list_transform(g.m, lambda x: x.bpos)) as hit, g.c as c from folded),
 known as (select mk.base, mk.target, list(distinct f.skel || array_to_string(f.leaves, ' ')) as known from mk join facts f on f.name = mk.base and list_contains(mk.hit, f.pos) group by all),
@@ -81,8 +77,8 @@ good as (select *, len(list_filter(list_distinct(image), lambda x: starts_with(x
 @query(f"with {INFER_SQL} select base, target, bpos::int as bpos, anchored::int as anchored, overlap::int as entity_overlap, n_skolems::int as n_skolems, round(2.0 * anchored + overlap, 3)::double as score from good")
 def order_infer(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Facts of the order before that the alignment leaves over, projected onto the order."""
-    f, maps = _maps(spark, sf_dir)
-    return A.inferences(maps, f).select("base", "target", F.col("bpos").cast("int").alias("bpos"), "anchored", "entity_overlap", "n_skolems", "score")
+    f = order_facts(spark, sf_dir)
+    return A.conjectures(f, f, pairs=order_pairs(spark, sf_dir)).select("base", "target", F.col("bpos").cast("int").alias("bpos"), "anchored", "entity_overlap", "n_skolems", "score")
 
 
 @query(f"""with {INFER_SQL}, conf as (select g.base, g.target, g.bpos, bool_or(coalesce(t.name is not null and len(list_filter(range(1, len(g.image) + 1), lambda i: not (starts_with(g.image[i], 'skolem:') or g.image[i] = t.leaves[i]))) = 0, false)) as hit
@@ -90,8 +86,8 @@ def order_infer(spark: SparkSession, sf_dir: str) -> DataFrame:
 select base, target, case when hit then 'confirmed' else 'novel' end as status, count(*) as n from conf group by all""")
 def order_confirm(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many projected facts of each pair the order states itself, invented entities matching any."""
-    f, maps = _maps(spark, sf_dir)
-    return A.confirmed(A.inferences(maps, f), f).groupBy("base", "target", "status").agg(F.count("*").alias("n"))
+    f = order_facts(spark, sf_dir)
+    return A.conjectures(f, f, pairs=order_pairs(spark, sf_dir)).groupBy("base", "target", "status").agg(F.count("*").alias("n"))
 
 
 @query(f"""with {INFER_SQL}, conf as (select g.base, g.target, g.bpos, bool_or(coalesce(t.name is not null and len(list_filter(range(1, len(g.image) + 1), lambda i: not (starts_with(g.image[i], 'skolem:') or g.image[i] = t.leaves[i]))) = 0, false)) as hit
@@ -102,7 +98,7 @@ def order_transfer(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conjectures about each order from the one before it, best first."""
     from factloom.functions.expressions import fmt_expr
 
-    f = order_facts(spark, sf_dir).checkpoint()
+    f = order_facts(spark, sf_dir)
     return A.transfer(f, f, pairs=order_pairs(spark, sf_dir)).select("base", "target", "i", fmt_expr(F.col("projection")).alias("projection"), "confidence", "status")
 
 
@@ -113,8 +109,8 @@ cov as (select k.base, k.target, count(*) as hit from known k join facts f on f.
 select base, target, round(hit / n, 4) as coverage, round(1 - hit / n, 4) as novelty from cov join n on n.name = target""")
 def order_novelty(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Share of each order's facts that the order before it explains."""
-    f, maps = _maps(spark, sf_dir)
-    return A.novelty_report(maps, f).select("base", "target", "coverage", "novelty")
+    f = order_facts(spark, sf_dir)
+    return A.novelty_report(A.align(f, f, pairs=order_pairs(spark, sf_dir)), f).select("base", "target", "coverage", "novelty")
 
 
 @query("""with l as (select l_returnflag || l_linestatus as f, lead(l_returnflag || l_linestatus) over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_extendedprice) as g from lineitem),
