@@ -5,13 +5,19 @@ Symbols hold no quotes, backslashes or brackets; canonical() refuses others.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Separates tokens in match keys; no symbol holds it.
 SEP = "\x01"
 
 
+def once(df: DataFrame, **columns: Column) -> DataFrame:
+    """df with columns that are computed once for each row; the optimizer copies an expression into each of its uses, but not out
+    of a generator."""
+    return df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
+
+
 def canonical(expr: Column) -> Column:
     """JSON text without white space. Anything but a string or a non-empty list that starts with a string, at every
     level, is an error, as are symbols with quotes, backslashes or brackets."""
