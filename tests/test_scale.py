@@ -93,3 +93,20 @@ def test_candidates_of_the_tables_are_not_listed(spark, tmp_path, monkeypatch, n
     monkeypatch.setattr(numbers, "QUERY_BLOCK", 64, raising=False)
     monkeypatch.setattr(numbers, "VECTOR_BLOCK", 500, raising=False)
     assert plain(rows) == plain(numbers.Q[name](spark, str(tmp_path)).collect()) == oracle(str(tmp_path), numbers.SQL[name])
+
+
+@pytest.mark.parametrize("name", ["star_reify", "star_rebuild", "order_roles"])
+def test_graph_and_roles_of_the_star_schema(spark, name):
+    assert plain(star.Q[name](spark, SMALL).collect()) == oracle(SMALL, star.SQL[name])
+
+
+def test_rounds_of_a_graph_end_with_its_facts(spark, facts, monkeypatch):
+    from pyspark.sql import DataFrame
+
+    from factloom.operators import graph, graphquery
+
+    nodes, edges = graph.reify(facts({"r": ['["CAUSE",["A","x",["B"]],["C","y"]]', '["A","x"]']}))
+    rounds, kept = [], DataFrame.checkpoint
+    monkeypatch.setattr(DataFrame, "checkpoint", lambda df, *a, **k: rounds.append(1) or kept(df, *a, **k))
+    texts = {r["text"] for r in graphquery.expr_strings(nodes, edges).collect()}
+    assert {"CAUSE(A(x, B()), C(y))", "A(x, B())", "B()", "C(y)", "A(x)", "x", "y"} <= texts and len(rounds) <= 3
