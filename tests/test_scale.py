@@ -63,6 +63,12 @@ def test_shingles_that_no_item_has_are_not_shuffled(spark, prose, name):
     assert mb < 0.2 * prose[1]
 
 
+def test_lineage_shuffles_all_shingles_once(spark, prose):
+    rows, mb = moved(spark, lambda: documents.Q["doc_lineage"](spark, prose[0]))
+    assert plain(rows) == oracle(prose[0], documents.SQL["doc_lineage"])
+    assert mb < 13 * prose[1]  # as an id has several texts, they are shuffled as text as well
+
+
 @pytest.mark.parametrize("name", ["doc_nearest_prior", "doc_rank_dot"])
 def test_words_are_counted_where_the_text_is(spark, prose, name):
     rows, mb = moved(spark, lambda: documents.Q[name](spark, prose[0]))
